@@ -21,7 +21,8 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+import zlib
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,6 +34,7 @@ from pyspark.sql import functions as F
 #: Bounds of the training sample: rows of each label, and bytes of one row.
 TRAIN_TOXIC_ROWS, TRAIN_ORDINARY_ROWS, TRAIN_ROW_BYTES = 2_000, 4_000, 20_000
 WINDOW_BYTES = 96
+LEVEL = 7
 ORDINARY_DICT_BYTES, TOXIC_DICT_BYTES = 16_384, 8_192
 PREDICT_AT = 0.7
 
@@ -53,30 +55,40 @@ def is_held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 3 == 1, F.lit(False))
 
 
-def _features(text: str) -> set[str]:
-    out = set()
-    for w in set(_WORD.findall(text)):
-        out.add(w + " ")
-        for k in range(4, min(len(w), 8) + 1):
-            out.add(w[:k])
+def _contexts(texts: list[str]) -> dict[str, set[int]]:
+    """For every word: the distinct pairs of neighbours it stands between, so that copies of a text count once."""
+    out: dict[str, set[int]] = defaultdict(set)
+    for t in texts:
+        words = ["", *_WORD.findall(t), ""]
+        for i in range(1, len(words) - 1):
+            out[words[i]].add(zlib.crc32(f"{words[i - 1]} {words[i + 1]}".encode("utf-8", "surrogatepass")))
     return out
 
 
 def _characteristic(toxic: list[str], ordinary: list[str]) -> list[str]:
-    """Words of toxic texts that begin with a stem which toxic texts hold far more often than ordinary ones."""
-    in_toxic, in_ordinary = Counter(), Counter()
-    for t in toxic:
-        in_toxic.update(_features(t))
-    for t in ordinary:
-        in_ordinary.update(x for x in _features(t) if x in in_toxic)
-    base = len(toxic) / (len(toxic) + len(ordinary))
-    stems = {x for x, n in in_toxic.items() if n >= 3 and (share := n / (n + in_ordinary[x])) > max(0.5, base) and n * math.log(share / base) >= 10}
-    found = Counter()
-    for t in toxic:
-        for w in _WORD.findall(t):
-            if w + " " in stems or any(w[:k] in stems for k in range(4, min(len(w), 8) + 1)):
-                found[w] += 1
-    return [w for w, n in sorted(found.items(), key=lambda x: (x[1], x[0])) for _ in range(min(n, 40))]
+    """Words of toxic texts, rarest first, that stand in far more places of toxic texts than of ordinary ones, or begin with a stem that does.
+
+    Stems are tried from the longest, and only on words that no longer one has taken.
+    """
+    in_toxic, in_ordinary = _contexts(toxic), _contexts(ordinary)
+    size = sum(map(len, toxic))
+    base = size / (size + sum(map(len, ordinary)))
+
+    def marks(n: int, m: int) -> bool:
+        return n >= 3 and (share := n / (n + m)) > max(0.8, base) and n * math.log(share / base) >= 16
+
+    taken: set[str] = {w for w, s in in_toxic.items() if marks(len(s), len(in_ordinary.get(w, ())))}
+    for k in range(8, 3, -1):
+        n, m, of = Counter(), Counter(), defaultdict(list)
+        for w, s in in_toxic.items():
+            if len(w) >= k and w not in taken:
+                n[w[:k]] += len(s)
+                of[w[:k]].append(w)
+        for w, s in in_ordinary.items():
+            if len(w) >= k:
+                m[w[:k]] += len(s)
+        taken.update(w for x, words in of.items() if len(words) > 2 and marks(n[x], m[x]) for w in words)
+    return sorted(taken, key=lambda w: (len(in_toxic[w]), w))
 
 
 def _dictionary(samples: list[bytes], most: int) -> bytes:
@@ -104,7 +116,7 @@ def windows(text: bytes) -> list[bytes]:
 class Scorer:
     def __init__(self, model: Model):
         self.model = model
-        params = zstandard.ZstdCompressionParameters.from_level(3, source_size=WINDOW_BYTES, dict_size=len(model.ordinary) + len(model.toxic), write_content_size=False, write_dict_id=False, format=zstandard.FORMAT_ZSTD1_MAGICLESS, min_match=4)
+        params = zstandard.ZstdCompressionParameters.from_level(LEVEL, source_size=WINDOW_BYTES, dict_size=len(model.ordinary) + len(model.toxic), write_content_size=False, write_dict_id=False, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
 
         def compressor(content: bytes):
             d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
