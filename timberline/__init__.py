@@ -1,0 +1 @@
+"""Log and trace analytics on Spark."""
