@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bounds of the training sample: rows of each label, and bytes of one row.
-TRAIN_TOXIC_ROWS, TRAIN_ORDINARY_ROWS, TRAIN_ROW_BYTES = 2_000, 4_000, 20_000
+TRAIN_TOXIC_ROWS, TRAIN_ORDINARY_ROWS, TRAIN_ROW_BYTES = 1_500, 3_000, 20_000
 WINDOW_BYTES = 96
 LEVEL = 7
 ORDINARY_DICT_BYTES, TOXIC_DICT_BYTES = 16_384, 8_192
@@ -172,13 +172,14 @@ def train(toxic: list[str], ordinary: list[str]) -> Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """From a sample bounded by TRAIN_*: the rows first in the order of a hash of doc_id."""
-    named = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").alias("_toxic")).where(F.col("_toxic").isNotNull() & F.col("_id").isNotNull()).groupBy("_id").agg(F.max("_toxic").alias("_toxic"))
-    usable = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull() & (F.octet_length("text") <= TRAIN_ROW_BYTES) & (F.octet_length("text") > 0) & ~is_held_out("doc_id"))
-    rows = usable.join(named, usable.doc_id == named._id).select("doc_id", "text", "_toxic")
-    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("text")]
-    take = lambda label, n: [r.text for r in rows.where(F.col("_toxic") == label).orderBy(*order).limit(n).select("text").collect()]
-    return train(take(1, TRAIN_TOXIC_ROWS), take(0, TRAIN_ORDINARY_ROWS))
+    """From a sample bounded by TRAIN_*: of the labelled doc_ids, the first of each label in the order of a hash."""
+    named = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("_toxic")).where(F.col("_toxic").isNotNull() & F.col("_id").isNotNull() & ~is_held_out("_id")).groupBy("_id").agg(F.max("_toxic").alias("_toxic"))
+    take = lambda label, n: named.where(F.col("_toxic") == label).orderBy(F.xxhash64("_id"), "_id").limit(n)
+    chosen = take(1, TRAIN_TOXIC_ROWS).unionByName(take(0, TRAIN_ORDINARY_ROWS))
+    # no more than TRAIN_TOXIC_ROWS + TRAIN_ORDINARY_ROWS pairs of numbers are broadcast
+    usable = docs.select("doc_id", "text").where((F.octet_length("text") <= TRAIN_ROW_BYTES) & (F.octet_length("text") > 0))
+    rows = sorted((r._toxic, r.text) for r in usable.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("_toxic", "text").distinct().collect())
+    return train([t for label, t in rows if label == 1], [t for label, t in rows if label == 0])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
