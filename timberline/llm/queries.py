@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, jaccard, licenses, quality, sharding, toxicity
+from . import bpe, jaccard, licenses, quality, sharding, suffix, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.digests(_table(spark, sf_dir, "documents"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_table(spark, sf_dir, "documents"))
 
@@ -40,7 +44,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_quality_rules, op5_bpe_codec, op6_jaccard_join, op8_license_scan, op9_toxicity, op10_kd_sharding)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_quality_rules, op5_bpe_codec, op6_jaccard_join, op8_license_scan, op9_toxicity, op10_kd_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
