@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, jaccard, langid, licenses, quality, sharding, suffix, toxicity
+from . import bpe, decontam, htmltext, jaccard, langid, licenses, quality, sharding, suffix, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -43,6 +43,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(_table(spark, sf_dir, "pages"))
+
+
 def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(_table(spark, sf_dir, "documents"))
 
@@ -52,7 +56,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_quality_rules, op3_decontamination, op5_bpe_codec, op6_jaccard_join, op7_language_id, op8_license_scan, op9_toxicity, op10_kd_sharding)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_quality_rules, op3_decontamination, op4_html_text, op5_bpe_codec, op6_jaccard_join, op7_language_id, op8_license_scan, op9_toxicity, op10_kd_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:

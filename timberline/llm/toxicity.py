@@ -196,3 +196,15 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return score(docs, fit(docs, labels)).select("doc_id", is_held_out("doc_id").alias("held_out"), "score", F.when(F.col("score") >= PREDICT_AT, 1).otherwise(0).cast("int").alias("predicted"))
+
+
+def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
+    """All rows and columns of the documents that score below PREDICT_AT."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(model)
+        for b in batches:
+            yield b.filter(pa.array([scorer.score(t.as_py()) < PREDICT_AT for t in b.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
