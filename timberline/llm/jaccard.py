@@ -206,6 +206,7 @@ def index(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
                     x, y = x[order], y[order]
                     rows += [_pack(kind, k, x[cuts[k] : cuts[k + 1]], y[cuts[k] : cuts[k + 1]]) for k in np.flatnonzero(np.diff(cuts)).tolist()]
                 yield _batch(rows)
+        K.trim()
 
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(bucket: int, held: dict[int, list]) -> pa.RecordBatch:
@@ -224,6 +225,7 @@ def index(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
                 held[kind].append((a, b))
         if at is not None:
             yield flush(at, held)
+        K.trim()
 
     packed = _docs(docs).mapInArrow(local, _PACKED)
     return packed.repartition(K.partitions_for(docs.sparkSession), "bucket").sortWithinPartitions("bucket").mapInArrow(gathered, _PACKED)
@@ -260,7 +262,8 @@ def _candidates(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
 
 def verified(docs: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """a, b of the pairs whose sets are similar enough, exactly."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("w")).distinct()
+    # written, so that Spark knows its size and broadcasts it only below its own limit
+    wanted = K.written(pairs.select(F.explode(F.array("a", "b")).alias("w")).distinct(), "jaccard-wanted")
     texts = _docs(docs).join(wanted, F.col("node") == F.col("w"), "left_semi")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

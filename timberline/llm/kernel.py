@@ -8,6 +8,9 @@ document, never on the number of rows in an Arrow batch.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -48,17 +51,31 @@ def work_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: cuts lineage, so that a lost executor costs only the stage it was in.
 
-    Shuffle files of the plan that made it are of no more use; the collection lets Spark's cleaner delete them now.
+    Shuffle files of plans that are of no more use are deleted by Spark's cleaner
+    once the driver has collected their plans, so that is done here.
     """
     spark = df.sparkSession
+    _collect(spark)
     path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     schema = df.schema
     del df
-    spark.sparkContext._jvm.System.gc()
+    _collect(spark)
     return spark.read.schema(schema).parquet(path)
 
 
+def _collect(spark: SparkSession) -> None:
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def trim() -> None:
+    """Give memory that a worker has freed back to the system: it stays alive between tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def partitions_for(spark: SparkSession, at_least: int = 1) -> int:
     return max(at_least, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 

@@ -36,6 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -133,6 +134,7 @@ def shared_places(docs: DataFrame) -> DataFrame:
                 for k in np.flatnonzero(np.diff(cuts)).tolist():
                     rows.append((_RANKS, k, key, _pack_low(rank[cuts[k] : cuts[k + 1]]), _pack_places(at[cuts[k] : cuts[k + 1]])))
                 yield _rows(rows)
+        K.trim()
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(bucket: int, held: list) -> pa.RecordBatch:
@@ -168,6 +170,7 @@ def shared_places(docs: DataFrame) -> DataFrame:
                 yield _rows(passed)
         if held:
             yield flush(at, held)
+        K.trim()
 
     def by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(held: list) -> pa.RecordBatch:
@@ -252,26 +255,27 @@ def sort_bucket(text: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> tuple
     at = _ragged(base, count)
     key = K.span_hash(K.prefix_hash(text), at, at + LENGTH)
     owner = ids[stretch]
-    order = np.lexsort((owner, key))
+    order = np.argsort(key)
     starts = K.runs(key[order])
     length = np.diff(np.append(starts, len(key)))
     head = np.repeat(order[starts], length)
+    least = np.repeat(np.minimum.reduceat(owner[order], starts), length) if len(starts) else owner
     padded = np.concatenate([text, np.zeros(8, np.uint8)])
     word = np.ndarray((len(text) + 1,), "<u8", padded, strides=(1,))
     alike = np.ones(len(order), bool)
     for j in (*range(0, LENGTH - 8, 8), LENGTH - 8):
         alike &= word[at[order] + j] == word[at[head] + j]
     repeat = np.zeros(len(at), bool)
-    repeat[order] = (owner[order] > owner[head]) & alike
+    repeat[order] = (owner[order] > least) & alike
     for i in np.flatnonzero(~alike).tolist():  # equal keys of different bytes: look at the whole class
         i = int(np.searchsorted(starts, i, "right")) - 1
-        least: dict[bytes, int] = {}
+        first_of: dict[bytes, int] = {}
         members = order[starts[i] : starts[i] + length[i]]
         for m in members.tolist():
             s = text[at[m] : at[m] + LENGTH].tobytes()
-            least[s] = min(least.get(s, owner[m]), owner[m])
+            first_of[s] = min(first_of.get(s, owner[m]), owner[m])
         for m in members.tolist():
-            repeat[m] = owner[m] > least[text[at[m] : at[m] + LENGTH].tobytes()]
+            repeat[m] = owner[m] > first_of[text[at[m] : at[m] + LENGTH].tobytes()]
     hit = np.flatnonzero(repeat)
     if not len(hit):
         z = np.zeros(0, np.int64)
@@ -289,6 +293,7 @@ def spans(docs: DataFrame) -> DataFrame:
     marked = _docs(docs).join(shared, "doc_id")
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             for c in K.chunks(batch.column(1)):
                 part = batch.slice(c.first, c.n)
@@ -309,15 +314,18 @@ def spans(docs: DataFrame) -> DataFrame:
                 cuts = K.split_points(bucket[order], n_buckets)
                 for k in np.flatnonzero(np.diff(cuts)).tolist():
                     o = order[cuts[k] : cuts[k + 1]]
-                    rows.append((_STRETCH, k, owner[o].tobytes(), start[o].astype("<i4").tobytes(), length[o].astype("<i4").tobytes(), c.data[_ragged(first[o], length[o])].tobytes()))
+                    rows.append((_STRETCH, k, owner[o].tobytes(), start[o].astype("<i4").tobytes(), length[o].astype("<i4").tobytes(), squeeze.compress(c.data[_ragged(first[o], length[o])].tobytes())))
                 yield _bucket_rows(rows)
+        K.trim()
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        loosen = zstandard.ZstdDecompressor()
+
         def flush(held: list) -> pa.RecordBatch:
             ids = np.frombuffer(b"".join(x[0] for x in held), np.int64)
             start = np.frombuffer(b"".join(x[1] for x in held), "<i4").astype(np.int64)
             length = np.frombuffer(b"".join(x[2] for x in held), "<i4").astype(np.int64)
-            s, a, b = sort_bucket(np.frombuffer(b"".join(x[3] for x in held), np.uint8), ids, length)
+            s, a, b = sort_bucket(np.frombuffer(b"".join(loosen.decompress(x[3]) for x in held), np.uint8), ids, length)
             return _bucket_rows(_repeat_rows(ids[s], start[s] + a, start[s] + b, n_buckets))
 
         at, held = None, []
@@ -336,6 +344,7 @@ def spans(docs: DataFrame) -> DataFrame:
                 yield _bucket_rows(passed)
         if held:
             yield flush(held)
+        K.trim()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(held: list) -> pa.RecordBatch:
