@@ -258,19 +258,25 @@ def sort_bucket(text: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> tuple
     order = np.argsort(key)
     starts = K.runs(key[order])
     length = np.diff(np.append(starts, len(key)))
-    head = np.repeat(order[starts], length)
-    least = np.repeat(np.minimum.reduceat(owner[order], starts), length) if len(starts) else owner
+    repeat = np.zeros(len(at), bool)
+    if not len(order):
+        return (np.zeros(0, np.int64),) * 3
+    owners = owner[order]
+    least = np.minimum.reduceat(owners, starts)
+    shared = np.repeat(np.maximum.reduceat(owners, starts) > least, length)
+    order, owners, group = order[shared], owners[shared], np.repeat(np.arange(len(starts)), length)[shared]
+    repeat[order] = owners > least[group]
+    # neighbours in a class of equal keys are equal byte by byte, or else the class is looked at by itself
     padded = np.concatenate([text, np.zeros(8, np.uint8)])
-    word = np.ndarray((len(text) + 1,), "<u8", padded, strides=(1,))
-    alike = np.ones(len(order), bool)
+    word, place = np.ndarray((len(text) + 1,), "<u8", padded, strides=(1,)), at[order]
+    differ = np.zeros(max(0, len(order) - 1), bool)
     for j in (*range(0, LENGTH - 8, 8), LENGTH - 8):
-        alike &= word[at[order] + j] == word[at[head] + j]
-    repeat = np.zeros(len(at), bool)
-    repeat[order] = (owner[order] > least) & alike
-    for i in np.flatnonzero(~alike).tolist():  # equal keys of different bytes: look at the whole class
-        i = int(np.searchsorted(starts, i, "right")) - 1
+        w = word[place + j]
+        differ |= w[1:] != w[:-1]
+    differ &= group[1:] == group[:-1]
+    for g in np.unique(group[1:][differ]).tolist():
         first_of: dict[bytes, int] = {}
-        members = order[starts[i] : starts[i] + length[i]]
+        members = order[group == g]
         for m in members.tolist():
             s = text[at[m] : at[m] + LENGTH].tobytes()
             first_of[s] = min(first_of.get(s, owner[m]), owner[m])
