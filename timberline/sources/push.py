@@ -120,7 +120,7 @@ def decode_push(body: bytes) -> list[tuple[int, dict[str, str], str, list[tuple[
                         metadata.append((pair.get(1, b"").decode(), pair.get(2, b"").decode()))
                 out.append((ts, labels, line, metadata))
         return out
-    except (pa.ArrowException, UnicodeDecodeError) as e:
+    except (pa.ArrowException, OSError, UnicodeDecodeError) as e:
         raise PushProblem(str(e)) from e
 
 
