@@ -15,10 +15,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest doc_id; without a doc_id, all."""
-    groups = jaccard.link_components(docs.where(F.col("doc_id").isNotNull()))
-    others = groups.where("component_id <> doc_id").select(F.col("doc_id").alias("_other")).distinct()
-    return docs.join(others, F.col("doc_id") == F.col("_other"), "left_anti")
+    """Of each group of linked documents the one with the smallest doc_id, and of rows that repeat a doc_id one; without a doc_id, all."""
+    return jaccard.one_of_each(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import kernel as K
+
 #: Characters of an unsplit stretch beyond which it is encoded as a tree, and of the first window on each side of a join.
 LEAF_CHARS, FIRST_WINDOW = 4096, 64
 #: Pre-tokens that a worker remembers.
@@ -206,4 +208,4 @@ def encode(docs: DataFrame, tokenizer_path: str | None = None, keep_ids: bool =
                     names += ["ids", "decoded"]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA + (", ids array<int>, decoded string" if keep_ids else ""))
+    return K.bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA + (", ids array<int>, decoded string" if keep_ids else ""))

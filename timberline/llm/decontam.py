@@ -147,7 +147,7 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int | None, str]]]:
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, similarity, first_word, n_words: the best window of each document for each item it holds."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = K.bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def searcher(block: list[tuple[int | None, str]]):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,6 +178,21 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """All rows and columns of the documents that hold no benchmark item."""
-    found = matches(docs, benchmark).select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(found, F.col("doc_id") == F.col("_leak"), "left_anti")
+    """All rows and columns of the documents that hold no benchmark item; each row is judged by its own text."""
+    at = docs.columns.index("text")
+
+    def keeper(block: list[tuple[int | None, str]]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            indexes = [x for k in range(1, SHINGLE + 1) if len((x := Index(block, k)).shingles)]
+            for batch in batches:
+                keep = np.ones(batch.num_rows, bool)
+                for c in K.chunks(batch.column(at)):
+                    words = K.Words(c, _WORD)
+                    word_hash = K.word_hashes(c, words)
+                    for index in indexes:
+                        keep[[c.first + doc for doc, *_ in index.search(c, words, word_hash)]] = False
+                yield batch.filter(pa.array(keep))
+
+        return run
+
+    return reduce(lambda df, block: df.mapInArrow(keeper(block), docs.schema), _blocks(benchmark), K.bounded(docs))

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import kernel as K
+
 #: Element names of HTML by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes plaintext".split())
@@ -338,4 +340,4 @@ def extract(pages: DataFrame) -> DataFrame:
                 texts = [text_of(x) for x in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array([t.count("\n") + 1 if t else 0 for t in texts], pa.int64()), pa.array(texts, pa.string())], ["page_id", "n_chars", "n_lines", "text"])
 
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), "html").mapInArrow(run, "page_id long, n_chars long, n_lines long, text string")
+    return K.bounded(pages).select(F.col("page_id").cast("long").alias("page_id"), "html").mapInArrow(run, "page_id long, n_chars long, n_lines long, text string")

@@ -32,7 +32,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernel as K
@@ -120,7 +120,7 @@ def entries(doc: np.ndarray, h: np.ndarray, n: int, percent: int = PERCENT) -> t
 
 
 def _docs(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("node"), "text")
+    return K.bounded(docs).select(F.col("doc_id").cast("long").alias("node"), "text")
 
 
 def _chunk_sets(batch: pa.RecordBatch) -> Iterator[tuple[K.Chunk, np.ndarray, np.ndarray, pa.RecordBatch]]:
@@ -148,6 +148,7 @@ def nodes(docs: DataFrame) -> DataFrame:
                 odd = (np.bincount(doc * bits + bit, minlength=c.n * bits) & 1).astype(np.uint8).reshape(c.n, bits)
                 words = np.packbits(odd, axis=1, bitorder="little").view(np.int64)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n.astype(np.int64)), *(pa.array(s) for s in sums), *(pa.array(np.ascontiguousarray(words[:, i])) for i in range(SKETCH_WORDS))], names)
+        K.trim()
 
     return _docs(docs).mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
@@ -312,3 +313,22 @@ def link_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         more = K.written(verified(docs, across, percent), "jaccard-links")
         found = K.written(components(links.unionByName(more)), "jaccard-components")
     return known.join(found, "node", "left").select(F.col("node").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """All rows and columns of one document of each component, the one with the smallest doc_id.
+
+    Of rows that repeat a doc_id the one with the least text stays; rows without a doc_id all stay.
+    """
+    groups = K.written(link_components(docs, percent), "jaccard-groups")
+    other, again = K.fresh("other", docs), K.fresh("again", docs)
+    others = groups.where("component_id <> doc_id").select(F.col("doc_id").alias(other)).distinct()
+    kept = docs.join(others, F.col("doc_id").cast("long") == others[other], "left_anti")
+    repeated = groups.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias(again))
+    if repeated.isEmpty():
+        return kept
+    rank = K.fresh("rank", docs)
+    single = kept.join(repeated, F.col("doc_id").cast("long") == repeated[again], "left_anti")
+    several = kept.join(repeated, F.col("doc_id").cast("long") == repeated[again], "left_semi")
+    first = several.withColumn(rank, F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where(F.col(rank) == 1).drop(rank)
+    return single.unionByName(first)

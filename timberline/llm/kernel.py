@@ -19,7 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 U = np.uint64
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
+#: Rows of an Arrow batch, by which the memory of both ends of a pipe to Python is bounded.
+BATCH_ROWS = 1000
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INV = pow(_BASE, -1, 1 << 64)
 
@@ -64,6 +66,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """df itself, whose session now hands batches of BATCH_ROWS rows at most to Python: rows here are whole texts or packed blobs."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key, "10000")) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def _collect(spark: SparkSession) -> None:
     gc.collect()
     spark.sparkContext._jvm.System.gc()
@@ -76,6 +86,14 @@ def trim() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+def fresh(name: str, df: DataFrame) -> str:
+    """A column name like this one that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def partitions_for(spark: SparkSession, at_least: int = 1) -> int:
     return max(at_least, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
@@ -162,6 +180,22 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix((prefix[end] - prefix[start]) * powers(_BASE_INV, len(prefix))[start] + (end - start).astype(np.uint64) * U(0xD6E8FEB86659FD93))
 
 
+def window_hashes(data: np.ndarray, k: int) -> np.ndarray:
+    """Hash of bytes i..i+k-1 for every i that has as many: sums of doubling widths, put together by the bits of k."""
+    n = len(data) - k + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    part, width, done, out = _BYTE_CODE[data], 1, 0, np.zeros(n, np.uint64)
+    while width <= k:
+        if k & width:
+            out += part[done : done + n] * U(pow(_BASE, done, 1 << 64))
+            done += width
+        if width * 2 <= k:
+            part = part[:-width] + part[width:] * U(pow(_BASE, width, 1 << 64))
+        width *= 2
+    return mix(out)
+
+
 # ------------------------------------------------------------------- words
 
 

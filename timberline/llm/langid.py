@@ -110,7 +110,7 @@ def learn(docs: DataFrame) -> dict[str, list[int]]:
             k = key[i : i + 50_000]
             yield pa.RecordBatch.from_arrays([pa.array(by_number[(k >> U(26)).astype(np.int64)], pa.string()), pa.array((k & U((1 << 26) - 1)).astype(np.int64)), pa.array(n[i : i + 50_000])], ["lang", "gram", "n"])
 
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~is_held_out("doc_id")).select(F.col("lang").cast("string").alias("lang"), "text")
+    rows = K.bounded(docs).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~is_held_out("doc_id")).select(F.col("lang").cast("string").alias("lang"), "text")
     counts = rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     best = counts.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("rank") <= PROFILE)
     found = best.limit(MAX_LANGUAGES * PROFILE + 1).collect()
@@ -166,7 +166,7 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]]) -> DataFrame:
                 names, score = model.predict(c)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.first, c.n), pa.array(names, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
+    return K.bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
 
 
 def identify(docs: DataFrame) -> DataFrame:

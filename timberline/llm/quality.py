@@ -103,7 +103,7 @@ def measured(docs: DataFrame) -> DataFrame:
                 part = b.slice(c.first, c.n)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), *(pa.array(v.astype(np.int64)) for v in m.values())], ["doc_id", "lang", "source", *m])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), "text").mapInArrow(run, _SCHEMA)
+    return K.bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), "text").mapInArrow(run, _SCHEMA)
 
 
 def bucket(value: Column) -> Column:

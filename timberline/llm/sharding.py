@@ -26,7 +26,7 @@ SHARDS = 16
 #: Bins of a histogram for each node; a bin with less than this share of its node's bytes is not looked into further.
 BINS, FINE = 2048, 0.0005
 #: Pieces of a leaf's size that a group larger than a leaf is taken apart into.
-PIECES = 8
+PIECES = 32
 _HIGH = 30
 
 

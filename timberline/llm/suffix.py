@@ -52,7 +52,7 @@ _IN_COVER = np.isin(np.arange(PERIOD), COVER)
 
 
 def _docs(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return K.bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
 
 def _buckets(docs: DataFrame) -> int:
@@ -103,7 +103,7 @@ def sample(chunk: K.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     doc = np.repeat(np.arange(chunk.n, dtype=np.int32), np.diff(chunk.off))
     at = np.flatnonzero(_IN_COVER[(np.arange(len(doc)) - chunk.off[:-1][doc]) % PERIOD]) if len(doc) else np.zeros(0, np.int64)
     at = at[at + RANKED <= chunk.off[1:][doc[at]]]
-    return at, doc[at], K.span_hash(K.prefix_hash(chunk.data), at, at + RANKED)
+    return at, doc[at], K.window_hashes(chunk.data, RANKED)[at] if len(at) else np.zeros(0, np.uint64)
 
 
 def shared_places(docs: DataFrame) -> DataFrame:
@@ -216,9 +216,8 @@ def stretches(chunk: K.Chunk, places: list[np.ndarray]) -> tuple[np.ndarray, np.
     if not len(at):
         z = np.zeros(0, np.int64)
         return z, z, z, np.zeros(0, np.uint64)
-    prefix = K.prefix_hash(chunk.data)
     grams = np.full(n + PERIOD, np.uint64(0xFFFFFFFFFFFFFFFF))
-    grams[: n - RANKED + 1] = K.span_hash(prefix, np.arange(n - RANKED + 1), np.arange(RANKED, n + 1))
+    grams[: n - RANKED + 1] = K.window_hashes(chunk.data, RANKED)
     least, width = grams, 1
     while width * 2 <= PERIOD:
         least = np.minimum(least[:-width], least[width:])
@@ -253,7 +252,7 @@ def sort_bucket(text: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> tuple
     count = lengths - LENGTH + 1
     stretch = np.repeat(np.arange(len(ids)), count)
     at = _ragged(base, count)
-    key = K.span_hash(K.prefix_hash(text), at, at + LENGTH)
+    key = K.window_hashes(text, LENGTH)[at] if len(at) else np.zeros(0, np.uint64)
     owner = ids[stretch]
     order = np.argsort(key)
     starts = K.runs(key[order])
@@ -416,15 +415,18 @@ def digests(docs: DataFrame) -> DataFrame:
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """All rows and columns of documents, texts without their repeated bytes; a character that is cut into goes whole."""
-    found = K.written(spans(docs), "suffix-spans")
+    found = K.written(spans(K.bounded(docs)), "suffix-spans")
     names = docs.columns
-    joined = docs.join(found.withColumnRenamed("doc_id", "_id").withColumnRenamed("starts", "_starts").withColumnRenamed("ends", "_ends"), F.col("doc_id") == F.col("_id"), "left")
+    key, starts, ends = (K.fresh(x, docs) for x in ("key", "starts", "ends"))
+    found = found.select(F.col("doc_id").alias(key), F.col("starts").alias(starts), F.col("ends").alias(ends))
+    joined = docs.join(found, F.col("doc_id").cast("long") == F.col(key), "left").select(*names, starts, ends)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = names.index("text")
         for batch in batches:
-            starts, ends = batch.column(len(names)).to_pylist(), batch.column(len(names) + 1).to_pylist()
-            texts = [t if s is None else _cut(t.encode("utf-8"), s, e).decode("utf-8", "ignore") for t, s, e in zip(batch.column(at).to_pylist(), starts, ends, strict=True)]
+            rows = zip(*(batch.column(i).to_pylist() for i in (at, len(names), len(names) + 1)), strict=True)
+            texts = [t if s is None else _cut(t.encode("utf-8"), s, e).decode("utf-8", "ignore") for t, s, e in rows]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(len(names))], names)
+        K.trim()
 
-    return joined.select(*(F.col(c) for c in names), "_starts", "_ends").mapInArrow(cut, docs.schema)
+    return joined.mapInArrow(cut, docs.schema)

@@ -31,6 +31,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import kernel as K
+
 #: Bounds of the training sample: rows of each label, and bytes of one row.
 TRAIN_TOXIC_ROWS, TRAIN_ORDINARY_ROWS, TRAIN_ROW_BYTES = 1_500, 3_000, 20_000
 WINDOW_BYTES = 96
@@ -191,7 +193,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             texts = b.column(1)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([scorer.score(t.as_py()) for t in texts], pa.float64())], ["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _SCHEMA)
+    return K.bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _SCHEMA)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -207,4 +209,4 @@ def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
         for b in batches:
             yield b.filter(pa.array([scorer.score(t.as_py()) < PREDICT_AT for t in b.column(at)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return K.bounded(docs).mapInArrow(run, docs.schema)
