@@ -130,7 +130,7 @@ def test_decontamination_matches_brute_force(spark):
             at = r.randint(0, len(t))
             t[at:at] = passage
         docs.append((i, "  ".join(t), "en", "a", 1))
-    docs += C.odd_rows()
+    docs += [(1000 + d if d is not None else None, *x) for d, *x in C.odd_rows()]
     norm = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", C.lower(t or ""))
     want = {}
     for item, text in items:
