@@ -141,8 +141,10 @@ def test_decontamination_matches_brute_force(spark):
         a = Counter(tuple(x[j : j + k]) for j in range(len(x) - k + 1))
         for doc, t, *_ in docs:
             w = norm(t)
-            for p in range(len(w) - len(x) + 1):
-                b = Counter(tuple(w[p + j : p + j + k]) for j in range(len(x) - k + 1))
+            grams = [tuple(w[j : j + k]) for j in range(len(w) - k + 1)]
+            hits = [p for p, g in enumerate(grams) if g in a]
+            for p in sorted({h - j for h in hits for j in range(len(x) - k + 1) if 0 <= h - j <= len(w) - len(x)}):
+                b = Counter(grams[p : p + len(x) - k + 1])
                 s = sum((a & b).values()) / sum((a | b).values())
                 if s >= 0.8 and s > want.get((doc, item), (0, 0))[0]:
                     want[doc, item] = (s, p)
