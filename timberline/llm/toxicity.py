@@ -3,7 +3,7 @@
 Two zstandard dictionaries are trained: one on ordinary text, and one on the
 passages that set toxic text apart.  Both compressors share the ordinary
 dictionary; the toxic one also holds the toxic dictionary, so that the number of
-bytes it saves on a window is the window's closeness to toxic text.  Windows
+bytes it saves on a window is the window's closeness to toxic text.  Windows overlap by half; those
 that save at least a threshold give evidence; the threshold, and the score that
 an amount of evidence stands for, are calibrated on labelled rows.
 
@@ -35,7 +35,7 @@ from . import kernel as K
 
 #: Bounds of the training sample: rows of each label, and bytes of one row.
 TRAIN_TOXIC_ROWS, TRAIN_ORDINARY_ROWS, TRAIN_ROW_BYTES = 1_500, 3_000, 20_000
-WINDOW_BYTES = 96
+WINDOW_BYTES = 128
 LEVEL = 7
 ORDINARY_DICT_BYTES, TOXIC_DICT_BYTES = 16_384, 8_192
 PREDICT_AT = 0.7
@@ -49,7 +49,7 @@ class Model:
     ordinary: bytes
     toxic: bytes
     saved_at: int
-    #: Upper bound of evidence for 100 windows, and the score up to it; ascending.
+    #: Upper bound of evidence, and the score up to it; ascending.
     steps: tuple[tuple[float, float], ...]
 
 
@@ -128,8 +128,10 @@ class Scorer:
         self.plain, self.toxic = compressor(model.ordinary), compressor(model.toxic + model.ordinary)
 
     def saved(self, text: str) -> list[int]:
+        """Bytes that the toxic dictionary saves on each window; every place is in two windows, which are cut half a window apart."""
         plain, toxic = self.plain.compress, self.toxic.compress
-        return [len(plain(w)) - len(toxic(w)) for w in windows(b" " + text.lower().encode("utf-8", "surrogatepass"))]
+        raw, half = b" " + text.lower().encode("utf-8", "surrogatepass"), WINDOW_BYTES // 2
+        return [len(plain(w)) - len(toxic(w)) for w in (*windows(raw), *(windows(raw[half:]) if len(raw) > half else ()))]
 
     def evidence(self, saved: list[int]) -> float:
         """Bytes saved beyond the threshold, less what windows of ordinary text save now and then."""
@@ -144,7 +146,7 @@ class Scorer:
         return self.model.steps[-1][1]
 
 
-_BOUNDS = (0.0, 0.5, 1.0, 2.0, 3.0, 4.0, 6.0, 10.0, math.inf)
+_BOUNDS = (0.0, 0.5, 1.0, 2.0, 3.0, 4.0, 5.0, 6.0, 8.0, 10.0, 14.0, math.inf)
 
 
 def train(toxic: list[str], ordinary: list[str]) -> Model:
