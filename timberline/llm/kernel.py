@@ -159,11 +159,14 @@ def powers(base: int, n: int) -> np.ndarray:
 
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective finaliser over uint64."""
-    h = h ^ (h >> U(30))
-    h = h * U(0xBF58476D1CE4E5B9)
-    h = h ^ (h >> U(27))
-    h = h * U(0x94D049BB133111EB)
-    return h ^ (h >> U(31))
+    h = np.array(h, np.uint64)
+    t = np.empty_like(h)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 0)):
+        np.right_shift(h, U(shift), out=t)
+        np.bitwise_xor(h, t, out=h)
+        if factor:
+            np.multiply(h, U(factor), out=h)
+    return h
 
 
 def prefix_hash(data: np.ndarray, lower: bool = False) -> np.ndarray:
@@ -181,19 +184,24 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
 
 
 def window_hashes(data: np.ndarray, k: int) -> np.ndarray:
-    """Hash of bytes i..i+k-1 for every i that has as many: sums of doubling widths, put together by the bits of k."""
+    """Polynomial (to be mixed) of bytes i..i+k-1 for every i that has as many: sums of doubling widths, put together by the bits of k."""
     n = len(data) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    part, width, done, out = _BYTE_CODE[data], 1, 0, np.zeros(n, np.uint64)
+    part, width, done = _BYTE_CODE[data], 1, 0
+    out, t = np.zeros(n, np.uint64), np.empty(len(data), np.uint64)
     while width <= k:
         if k & width:
-            out += part[done : done + n] * U(pow(_BASE, done, 1 << 64))
+            np.multiply(part[done : done + n], U(pow(_BASE, done, 1 << 64)), out=t[:n])
+            out += t[:n]
             done += width
         if width * 2 <= k:
-            part = part[:-width] + part[width:] * U(pow(_BASE, width, 1 << 64))
+            m = len(part) - width
+            np.multiply(part[width:], U(pow(_BASE, width, 1 << 64)), out=t[:m])
+            part = part[:m]
+            part += t[:m]
         width *= 2
-    return mix(out)
+    return out
 
 
 # ------------------------------------------------------------------- words

@@ -59,6 +59,10 @@ def _buckets(docs: DataFrame) -> int:
     return 8 * K.partitions_for(docs.sparkSession)
 
 
+#: Repeats that a task holds before it deals them out by document.
+HELD_REPEATS = 500_000
+
+
 def _pack_low(values: np.ndarray) -> bytes:
     """Three bytes of each."""
     return np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]).tobytes()
@@ -103,7 +107,7 @@ def sample(chunk: K.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     doc = np.repeat(np.arange(chunk.n, dtype=np.int32), np.diff(chunk.off))
     at = np.flatnonzero(_IN_COVER[(np.arange(len(doc)) - chunk.off[:-1][doc]) % PERIOD]) if len(doc) else np.zeros(0, np.int64)
     at = at[at + RANKED <= chunk.off[1:][doc[at]]]
-    return at, doc[at], K.window_hashes(chunk.data, RANKED)[at] if len(at) else np.zeros(0, np.uint64)
+    return at, doc[at], K.mix(K.window_hashes(chunk.data, RANKED)[at]) if len(at) else np.zeros(0, np.uint64)
 
 
 def shared_places(docs: DataFrame) -> DataFrame:
@@ -312,7 +316,7 @@ def spans(docs: DataFrame) -> DataFrame:
                 least = np.empty(len(order), np.int64)
                 least[order] = np.repeat(owner[order[heads]], np.diff(np.append(heads, len(order)))) if len(heads) else 0
                 again = owner > least
-                rows = _repeat_rows(owner[again], start[again], start[again] + length[again], n_buckets)
+                rows = _repeat_rows(owner[again], start[again], start[again] + length[again], n)
                 first, length, owner, start, fingerprint = (x[~again] for x in (first, length, owner, start, fingerprint))
                 bucket = (K.mix(fingerprint) % U(n_buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
@@ -326,14 +330,17 @@ def spans(docs: DataFrame) -> DataFrame:
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         loosen = zstandard.ZstdDecompressor()
 
-        def flush(held: list) -> pa.RecordBatch:
+        def flush(held: list) -> tuple[np.ndarray, ...]:
             ids = np.frombuffer(b"".join(x[0] for x in held), np.int64)
             start = np.frombuffer(b"".join(x[1] for x in held), "<i4").astype(np.int64)
             length = np.frombuffer(b"".join(x[2] for x in held), "<i4").astype(np.int64)
             s, a, b = sort_bucket(np.frombuffer(b"".join(loosen.decompress(x[3]) for x in held), np.uint8), ids, length)
-            return _bucket_rows(_repeat_rows(ids[s], start[s] + a, start[s] + b, n_buckets))
+            return ids[s], start[s] + a, start[s] + b
 
-        at, held = None, []
+        def dealt(found: list) -> pa.RecordBatch:
+            return _bucket_rows(_repeat_rows(*(np.concatenate(x) for x in zip(*found, strict=True)), n))
+
+        at, held, found = None, [], []
         for batch in batches:
             passed = []
             for kind, bucket, *rest in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
@@ -341,14 +348,19 @@ def spans(docs: DataFrame) -> DataFrame:
                     passed.append((kind, bucket, *rest))
                     continue
                 if bucket != at and held:
-                    yield flush(held)
+                    found.append(flush(held))
                     held = []
                 at = bucket
                 held.append(rest)
             if passed:
                 yield _bucket_rows(passed)
+            if sum(len(x[0]) for x in found) > HELD_REPEATS:
+                yield dealt(found)
+                found = []
         if held:
-            yield flush(held)
+            found.append(flush(held))
+        if found:
+            yield dealt(found)
         K.trim()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
