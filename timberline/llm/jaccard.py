@@ -183,7 +183,7 @@ def _stars(entry: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def index(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Packed rows: kind 1 pairs of an entry's first node and another, kind 2 (entry, node) of entries with several nodes.
+    """Packed rows: kind 1 pairs of an entry's first node and another, kind 2 (entry, node) of entries with three nodes or more.
 
     Within a chunk an entry's first node alone goes on, so that what is dealt out
     of a group of copies is one row a chunk.
@@ -212,9 +212,15 @@ def index(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(bucket: int, held: dict[int, list]) -> pa.RecordBatch:
             join = lambda kind, i: np.concatenate([np.frombuffer(x[i], np.int64) for x in held[kind]]) if held[kind] else np.zeros(0, np.int64)
-            _, _, a, b, ge, gn = _stars(join(0, 0).view(np.uint64), join(0, 1))
+            entry, node = join(0, 0).view(np.uint64), join(0, 1)
+            _, _, a, b, _, _ = _stars(entry, node)
             pairs = np.unique(np.stack([np.concatenate([a, join(1, 0)]), np.concatenate([b, join(1, 1)])], 1), axis=0)
-            return _batch([_pack(1, bucket, pairs[:, 0], pairs[:, 1]), _pack(2, bucket, np.concatenate([ge.view(np.int64), join(2, 0)]), np.concatenate([gn, join(2, 1)]))])
+            # of an entry with two nodes the one pair is all there is to test
+            _, _, _, _, entry, node = _stars(np.concatenate([entry, join(2, 0).view(np.uint64)]), np.concatenate([node, join(2, 1)]))
+            starts = K.runs(entry)
+            length = np.diff(np.append(starts, len(entry)))
+            three = np.repeat(length > 2, length)
+            return _batch([_pack(1, bucket, pairs[:, 0], pairs[:, 1]), _pack(2, bucket, entry[three].view(np.int64), node[three])])
 
         at, held = None, {0: [], 1: [], 2: []}
         for batch in batches:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, htmltext, jaccard, langid, licenses, quality, sharding, suffix, toxicity
+from . import bpe, decontam, htmltext, jaccard, langid, licenses, oracles, quality, sharding, suffix, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -60,4 +60,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": quality.ORACLE_SQL, "op8_license_scan": licenses.ORACLE_SQL}
+    return {"op2_quality_rules": quality.ORACLE_SQL, "op3_decontamination": oracles.LEAKS, "op6_jaccard_join": oracles.LINKS, "op8_license_scan": licenses.ORACLE_SQL}
