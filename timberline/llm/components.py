@@ -24,7 +24,9 @@ def components(links: DataFrame) -> DataFrame:
         large = K.written(large, "links")
         least = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m")
         small = large.join(least, large.u == least.k).select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
+        old = state, large
         state = K.written(small, "links")
+        K.discard(*old)
         before, mark = mark, _mark(state)
         if before == mark:
             break

@@ -308,9 +308,11 @@ def link_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     # entries whose members are not all in one component, and that were not settled by their one pair
     members = _unpacked(packed, 2, ("entry", "node")).join(found, "node", "left").select("entry", "node", F.coalesce("component", "node").alias("component"))
     members = K.written(members, "jaccard-members")
+    K.discard(packed)
     open_ = members.groupBy("entry").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select(F.col("entry").alias("open"))
     rest = members.join(open_, F.col("entry") == F.col("open"), "left_semi").distinct()
     rest = K.written(rest.join(known, "node"), "jaccard-rest")
+    K.discard(members)
     a, b = _side(rest, "a"), _side(rest, "b")
     across = a.join(b, (F.col("a_entry") == F.col("b_entry")) & (F.col("a_component") < F.col("b_component")) & _may_link(percent)).select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct()
     tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))

@@ -63,7 +63,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     schema = df.schema
     del df
     _collect(spark)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that `written` made, once all that is read from them has been written in its turn."""
+    for df in tables:
+        path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df._written_to)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def bounded(df: DataFrame) -> DataFrame:
