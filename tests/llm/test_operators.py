@@ -114,6 +114,15 @@ def test_thresholds_follow_the_group(spark):
     assert kept[1][0] and kept[0][0] and not kept[1000][0] and "symbols" in kept[1000][1]  # 60 lone signs are also a repeat
 
 
+def test_sketches_tighten_thresholds(spark):
+    r = random.Random(2)
+    text = lambda size: " ".join("".join(r.choices("abcdefghij", k=size + r.randrange(-1, 2))) for _ in range(60))
+    rows = [(i, text(8 if i % 2 else 5), "de" if i % 2 else "en", "a", 1) for i in range(600)]
+    rows += [(1000, text(9), "en", "a", 1), (1001, text(9), "de", "a", 1), (1002, text(5), "de", "a", 1), (1003, text(5), "en", "a", 1)]
+    got = {x.doc_id: x.rules_failed for x in quality.judge(C.frame(spark, rows)).collect()}
+    assert got[1000] == "long_words" and got[1002] == "short_words" and {got[1001], got[1003], got[0], got[1]} == {""}
+
+
 # ------------------------------------------------------------------- op3
 
 

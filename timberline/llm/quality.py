@@ -5,8 +5,9 @@ Each document gets integer rule values.  Their distributions are summarised per
 the value, so that two sketches merge by adding counts and a quantile is exact
 to about 3 %.  Sketches merge upwards, from (lang, source) to lang to everything,
 and a group that is too small uses the sketch above it.  A rule's threshold is a
-fence beyond the upper (or below the lower) quartile, never stricter than a
-floor, and the thresholds are joined back to filter the documents.
+fence beyond the upper (or below the lower) quartile; where the quartiles lie
+closer than a small spread, as where both are 0, that spread stands for their
+distance.  The thresholds are joined back to filter the documents.
 
 Contract (op2): words are [^\\x20\\x09-\\x0D]+ of every whole text; n_words,
 word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and kept as the
@@ -35,7 +36,10 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: A group with fewer documents uses the thresholds above it; quartile distances of the fence; salts of the join's hot keys.
 MIN_GROUP, FENCE, SALTS = 200, 3, 16
 
-#: Rules: name, value per thousand, side, and the fence's floor (upper rules) or ceiling (lower rules).
+#: Least quartile distance of a rule's fence.
+LEAST_SPREAD = {"symbols": 17, "dup_lines": 120, "repeats": 100, "long_words": 64, "short_words": 64}
+
+#: Rules: name, value per thousand, side, and the fixed floor (upper rules) or ceiling (lower rules) that only the SQL still has.
 RULES = (
     ("symbols", "n_symbols * 1000 div greatest(word_chars, 1)", "upper", 50),
     ("dup_lines", "n_dup_lines * 1000 div greatest(n_lines, 1)", "upper", 500),
@@ -142,10 +146,10 @@ def thresholds(rows: DataFrame) -> DataFrame:
     lang, everything = up(lang, "l", ["lang"]), up(everything, "g", [])
     joined = own.join(lang, (F.col("lang").eqNullSafe(F.col("l_lang"))) & (F.col("rule") == F.col("l_rule"))).join(F.broadcast(everything), F.col("rule") == F.col("g_rule"))
     chosen = joined.withColumn("q", F.when(F.col("docs") >= MIN_GROUP, F.struct("docs", "q1", "q3")).when(F.col("l.docs") >= MIN_GROUP, F.col("l")).otherwise(F.col("g")))
-    spread = F.col("q.q3") - F.col("q.q1")
+    spread = lambda name: F.greatest(F.col("q.q3") - F.col("q.q1"), F.lit(LEAST_SPREAD[name]))
     rule = lambda name, f: F.max(F.when(F.col("rule") == name, f))
     return chosen.groupBy("lang", "source").agg(
-        *(rule(name, F.greatest(F.col("q.q3") + FENCE * spread, F.lit(floor)) if side == "upper" else F.least(F.col("q.q1") - FENCE * spread, F.lit(floor))).alias(f"at_{name}") for name, _, side, floor in RULES)
+        *(rule(name, F.col("q.q3") + FENCE * spread(name) if side == "upper" else F.col("q.q1") - FENCE * spread(name)).alias(f"at_{name}") for name, _, side, _ in RULES)
     )
 
 
