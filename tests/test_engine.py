@@ -1,9 +1,11 @@
 import json
+import re
 
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from timberline import queries
 from timberline.engine import Engine
 from timberline.functions import labels as L
 from timberline.operators import discovery, maintenance, masks, ranges, traces
@@ -110,6 +112,15 @@ def test_patterns(spark):
     assert discovery.patterns(df.limit(0), parse("{}"), 0, S).count() == 0
 
 
+def test_pattern_tokens_of_every_row_match_brute_force(spark, tmp_path):
+    space = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+    texts = ["plain text 1", "", None, " é 日本語 x9 ", space, "a\u200bb \x1cc \ufeffd", *(f"a{c}b{c}{c}é7{c}" for c in space)]
+    spark.createDataFrame([(i, i % 3, x) for i, x in enumerate(texts)], "conv_id long, turn int, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    brute = lambda x: None if x is None else " ".join("<_>" if re.search("[0-9]", w) else w for w in re.split(f"[{space}]+", x) if w)
+    got = queries.queries()["pattern_tokens"](spark, str(tmp_path)).collect()
+    assert sorted((r.conv_id, r.turn, r.template) for r in got) == [(i, i % 3, brute(x)) for i, x in enumerate(texts)]
+
+
 def test_deletes_and_retention(spark):
     d = Deletes()
     one = d.submit("t", '{app="drop"} |= "x"', 2 * S, 4 * S, 9 * S)
