@@ -1,4 +1,5 @@
 import json
+import os
 import re
 
 import pyarrow as pa
@@ -14,6 +15,7 @@ from timberline.plans.parser import QueryProblem, parse
 from timberline.sources import push, tables
 
 S = 10**9
+SF = "/root/testdata/sf0.01"
 
 
 def logs(spark, rows):
@@ -139,6 +141,17 @@ def test_deletes_and_retention(spark):
         assert e.log_query("t", "{}", 0, 9 * S).count() == want
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the tables are not here")
+def test_delete_mask_returns_the_whole_window(spark):
+    from timberline.queries import END, HOUR, START, TENANT
+
+    rows = [(r.ts_ns, r.line, r.labels.get("event_type")) for r in tables.event_logs(spark, SF).where(F.col("tenant") == TENANT).collect() if START <= r.ts_ns <= END]
+    a = {x for x in rows if x[2] == "click" and x[0] < START + 100 * HOUR}
+    b = {x for x in rows if "7" in x[1] and START + 50 * HOUR <= x[0] < END}
+    got = queries.queries()["delete_mask"](spark, SF).collect()
+    assert a - b and sorted((r.ts_ns, r.line) for r in got) == sorted(x[:2] for x in rows if x not in a | b)
+
+
 def test_table_round_trip_compaction_and_pruning(spark, tmp_path):
     day = tables.DAY_NS
     df = logs(spark, [(i * day // 2 - day, {"app": "a"}, f"l{i % 3}", {"k": "v"}) for i in range(10)])

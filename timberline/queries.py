@@ -351,7 +351,7 @@ _VISIBLE = f"NOT (event_type = 'click' AND ts_ns >= {START} AND ts_ns < {START +
 @_add("delete_mask", f"WITH {_LOGS} SELECT ts_ns, line FROM s WHERE {_W} AND {_VISIBLE} ORDER BY ts_ns DESC LIMIT 300")
 def delete_mask(spark, sf_dir):
     e = _engine(spark, sf_dir, deletes=Deletes(_DELETES))
-    return e.log_query(TENANT, '{app="events"}', START, END, 300).select("ts_ns", "line")
+    return selection.entries(e.scan(TENANT, START, END), parse_selector('{app="events"}')).select("ts_ns", "line")
 
 
 def _policies() -> Policies:
