@@ -69,6 +69,16 @@ def test_repeats_match_brute_force(spark, monkeypatch):
     assert {k: sorted(v) for k, v in got.items()} == brute_repeats(rows)
 
 
+@pytest.mark.parametrize("ids", [(1, 2, 1), (2, 1, 2), (1, 2, 2, 1, 3, 1)])
+def test_doc_ids_that_come_again_within_a_chunk(spark, ids):
+    passage = prose(random.Random(5), 60)
+    rows = [(d, passage, "en", "a", 1) for d in ids]
+    got = defaultdict(list)
+    for r in suffix.digests(spark.createDataFrame(rows, C.SCHEMA).coalesce(1)).collect():
+        got[r.doc_id].append((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256))
+    assert {k: sorted(v) for k, v in got.items()} == brute_repeats(rows)
+
+
 def test_text_without_repeats_keeps_columns_and_characters(spark):
     rows = C.odd_rows() + overlapping_rows()
     df = C.frame(spark, rows)

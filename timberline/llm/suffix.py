@@ -124,7 +124,9 @@ def shared_places(docs: DataFrame) -> DataFrame:
                 at, doc, rank = at[order], doc[order], rank[order]
                 starts = K.runs(rank)
                 length = np.diff(np.append(starts, len(rank)))
-                several = ids[doc[starts]] != ids[doc[starts + length - 1]] if len(starts) else np.zeros(0, bool)
+                # a doc_id may come again after another one, so a run's ends do not tell
+                of = ids[doc]
+                several = np.minimum.reduceat(of, starts) != np.maximum.reduceat(of, starts) if len(starts) else np.zeros(0, bool)
                 inside = np.repeat(several, length)
                 send = ~inside
                 send[starts] = True
