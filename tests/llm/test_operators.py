@@ -528,6 +528,16 @@ def test_a_group_larger_than_a_shard_is_taken_apart(spark):
     check_shards(rows, sharding.shard(C.frame(spark, rows)).collect(), True)
 
 
+@pytest.mark.parametrize("share", [0.5, 0.7, 0.95])
+def test_a_group_of_up_to_a_shard_leaves_sizes_even(spark, share):
+    r = random.Random(10)
+    rows = [(i, prose(r, 10), None, None, None) for i in range(4000)]
+    size = sum(len(t) + 1 for _, t, *_ in rows) / 16
+    # the least doc_id puts the group on a median
+    rows += [(2000 if not i else 10000 + i, "copy " * 10, None, None, None) for i in range(int(share * size / 51))]
+    check_shards(rows, sharding.shard(spark.createDataFrame(rows, C.SCHEMA).repartition(3)).collect(), True)
+
+
 def test_odd_rows_in_shards(spark):
     check_shards(C.odd_rows(), sharding.shard(C.frame(spark, C.odd_rows())).collect(), False)
     assert sharding.shard(C.frame(spark, C.odd_rows()).limit(0)).count() == 0

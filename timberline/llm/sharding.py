@@ -3,14 +3,14 @@
 Documents are put together by equal text, and the groups are split recursively
 at the byte-weighted median of the node's widest metadata dimension, until the
 leaves reach the target bytes.  Medians are found by distributed histograms of
-which the driver sees a fixed number of bins.  A group larger than a whole
-leaf is the one kind that is taken apart, by a hash of doc_id.
+which the driver sees a fixed number of bins.  A group larger than a small
+share of a leaf is the one kind that is taken apart, by a hash of doc_id.
 
 Contract (op10): law `bytes`; size is UTF-8 bytes plus 1, a null text counting as
 empty; slots are gapless from 0 in each shard; grown_shard is null.
 
 Edge cases: null metadata sorts before all other; ties of a dimension are split
-by a hash of the text, so equal texts stay together; repeated rows are each
+by a hash of the text, so smaller groups stay together; repeated rows are each
 placed; other columns are ignored, whatever their names; an empty table gives
 an empty result.
 """
@@ -25,8 +25,8 @@ from . import kernel as K
 SHARDS = 16
 #: Bins of a histogram for each node; a bin with less than this share of its node's bytes is not looked into further.
 BINS, FINE = 2048, 0.0005
-#: Pieces of a leaf's size that a group larger than a leaf is taken apart into.
-PIECES = 32
+#: Share of a leaf's size above which a group is taken apart, and pieces of a leaf's size that it is taken apart into.
+SHARE, PIECES = 1 / 16, 32
 _HIGH = 30
 
 
@@ -122,11 +122,10 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     by_text = rows.groupBy("h1", "h2").agg(F.sum("size").alias("bytes"))
     whole = rows.agg(F.sum("size").alias("bytes"), F.count("*").alias("n"), *(f(c).alias(f"{n}_{c}") for c in ("doc_id", "size") for n, f in (("lo", F.min), ("hi", F.max)))).first()
     target = (whole.bytes or 0) / shards
-    piece = F.lit(0)
-    for r in by_text.where(F.col("bytes") > target).limit(shards).collect() if whole.n else []:  # fewer than `shards` groups can be larger than a leaf
-        n = int(r.bytes * PIECES / max(target, 1)) + 1
-        piece = F.when((F.col("h1") == r.h1) & (F.col("h2") == r.h2), F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")).otherwise(piece)
-    rows = rows.withColumn("piece", piece)
+    # fewer than shards / SHARE groups can be larger than that share of a leaf
+    large = by_text.where(F.col("bytes") > target * SHARE).select(F.col("h1").alias("l1"), F.col("h2").alias("l2"), (F.floor(F.col("bytes") * PIECES / F.lit(max(target, 1))) + 1).cast("long").alias("pieces"))
+    piece = F.when(F.col("pieces").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("doc_id"), F.col("pieces"))).cast("int")
+    rows = rows.join(F.broadcast(large), (F.col("h1") == F.col("l1")) & (F.col("h2") == F.col("l2")), "left").withColumn("piece", piece).drop("l1", "l2", "pieces")
     groups = rows.groupBy("h1", "h2", "piece").agg(F.sum("size").alias("bytes"), F.min("doc_id").alias("first_id"), F.max("size").alias("one_size"), F.min("lang").alias("lang"), F.min("source").alias("source"))
     ranges = {"first_id": (whole.lo_doc_id or 0, whole.hi_doc_id or 0), "one_size": (whole.lo_size or 0, whole.hi_size or 0), "lang": (-1, 1 << 32), "source": (-1, 1 << 32)}
     tie = F.xxhash64("h1", "h2", "piece")
