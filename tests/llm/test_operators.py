@@ -346,6 +346,27 @@ def test_chains_across_entries_are_found(spark):
     assert {(d, c) for d, _, c in brute_components(rows)} == set(got.items())
 
 
+def test_many_components_in_one_entry(spark, monkeypatch):
+    """A passage in every text, own words beside it: few link, all share entries; names that clash are told apart."""
+    r = random.Random(21)
+    passage = prose(r, 60, 100_000)
+    rows = []
+    for i in range(60):
+        own = prose(r, r.choice([2, 3, 4, 12]), 100_000)
+        rows.append((i, f"{own} {passage}", "en", "a", 1))
+    rows += [(70, rows[3][1], "en", "a", 1), (70, "other words altogether in this row", "en", "a", 1), (71, "Other words altogether in this row", "en", "a", 1), (70, "", "en", "a", 0), (72, "", "en", "a", 0)]
+    df = C.frame(spark, rows)
+    want = brute_components(rows)
+    assert len({c for _, _, c in want}) > 10
+    assert sorted([(x.doc_id, x.n_shingles, x.component_id) for x in jaccard.link_components(df).collect()], key=repr) == want
+    known = jaccard.nodes(df).where("name IS NOT NULL").select("h1", "name").distinct().collect()
+    clash = tuple(x.h1 for x in known[:20])
+    told = {x.h1: x.name for x in jaccard.nodes(df, clash).where("name IS NOT NULL").collect()}
+    assert len(set(told.values())) == len(known) and all(told[x] != x for x in clash)
+    monkeypatch.setattr(jaccard, "_known", lambda docs: (jaccard.nodes(docs, clash), clash))
+    assert sorted([(x.doc_id, x.n_shingles, x.component_id) for x in jaccard.link_components(df).collect()], key=repr) == want
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.integers(1, 300), st.integers(0, 10**6))
 def test_similar_sets_share_an_entry(n, seed):
@@ -364,6 +385,12 @@ def test_similar_sets_share_an_entry(n, seed):
     doc, h = K.doc_sets(np.repeat([0, 1], [len(a), len(b)]), np.array(a + b, np.uint64))
     d, e = jaccard.entries(doc, h, 2)
     assert set(e[d == 0].tolist()) & set(e[d == 1].tolist())
+    if set(a) == set(b):
+        return
+    d, band, need, empty, e = jaccard.fine_entries(doc, h, 2)
+    order = {x: r.random() for x in sorted(set(e.tolist()))}
+    first = lambda i, k: {x for *_, x in sorted(zip(empty[(d == i) & (band == k)], map(order.get, e[(d == i) & (band == k)].tolist()), e[(d == i) & (band == k)].tolist(), strict=True))[: int(need[band == k][0])]}
+    assert any(first(0, k) & first(1, k) for k in set(band[d == 0].tolist()) & set(band[d == 1].tolist()))
 
 
 # ------------------------------------------------------------------- op7

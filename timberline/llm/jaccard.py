@@ -9,10 +9,13 @@ which, and how many there are, is chosen by cost.  An empty segment would be
 shared by many, so a set leaves its empty segments out as long as the spare
 budget makes up for that.
 
-Sets that share an index entry are not paired with each other but with the
-entry's first; a second round takes only those entries whose sets are not yet in
-one component, and pairs across components alone.  Bounds on size and on a
-parity sketch, both never too high, come before exact verification.
+What is indexed is the distinct set, named by its digest, so that a group of
+copies, however large, is one member of its entries.  Sets that share an entry
+are not paired with each other but with the entry's first; a second round takes
+only those entries whose sets are not yet in one component, one of all entries
+with the same members, and pairs across components alone.  Bounds on size and on
+a parity sketch that grows with the set, both never too high, come before exact
+verification.
 
 Contract (op6): 4-word shingles of words lower-cased in A-Z; links where
 100 * intersection >= 85 * union; component_id is the least doc_id reachable.
@@ -21,7 +24,8 @@ Edge cases: a null or empty text, or one without words, has no shingles and no
 links; with fewer than 4 words its whole sequence is the one shingle; rows with
 the same doc_id are one node, which links if any of its texts does; rows with a
 null doc_id get a null component_id; other columns are ignored, whatever their
-names; an empty table gives an empty result.
+names; an empty table gives an empty result.  A very long text is one set like
+any other: its worker holds 8 bytes a shingle and a sketch of 1/20 of that.
 """
 
 from __future__ import annotations
@@ -39,10 +43,14 @@ from . import kernel as K
 from .components import components
 
 PERCENT, SHINGLE = 85, 4
-SKETCH_WORDS = 8
+#: Bits of the smallest sketch, and the least bits a shingle of a larger one: at 0.4, sets that have nothing in common differ in 1.6 times the bits that a link may.
+SKETCH_BITS, BITS_A_SHINGLE = 512, 0.4
 #: The cost model: share of a document's shingles that others may hold too, and the cost of an entry shared by chance against that of writing one.
 SHARED, COLLISION = 0.6, 50.0
 
+#: Second round: segments a set, in multiples of those by which it is indexed.
+FINER = 3
+
 U = K.U
 
 
@@ -57,10 +65,7 @@ def band_starts(percent: int = PERCENT) -> np.ndarray:
 @lru_cache(None)
 def scheme(band: int, percent: int = PERCENT) -> tuple[int, int, int]:
     """(segments, how many of them with budget 1, spare budget) for pairs whose smaller set lies in the band."""
-    starts = band_starts(percent)
-    low, high = int(starts[band]), int(starts[band + 1]) - 1
-    differ = (100 - percent) * (high + high * 100 // percent) // (100 + percent)
-    best = None
+    low, differ, best = int(band_starts(percent)[band]), _differ(band, percent), None
     for spare in (0, 1, 2, 3, 4, 6):
         need = differ + 1 + spare
         for m in {need, *(need - need * i // 16 for i in range(1, 9))}:
@@ -76,49 +81,89 @@ def scheme(band: int, percent: int = PERCENT) -> tuple[int, int, int]:
     return best[1]
 
 
-def entries(doc: np.ndarray, h: np.ndarray, n: int, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
-    """(document, entry) of all index entries of the sets given by sorted distinct (document, token)."""
-    at = K.split_points(doc, n)
-    size = np.diff(at)
-    band = np.searchsorted(band_starts(percent), size, "right") - 1
-    out_doc, out = [], []
-    for back in (0, 1):
-        use = np.flatnonzero((size > 0) & (band >= back))
-        if not len(use):
-            continue
-        of = band[use] - back
-        plan = np.array([scheme(int(b), percent) for b in np.unique(of)])[np.unique(of, return_inverse=True)[1]]
-        m, ones, spare = plan[:, 0], plan[:, 1], plan[:, 2]
+def _differ(band: int, percent: int = PERCENT) -> int:
+    """In how many tokens linked sets may differ if the smaller one lies in the band."""
+    high = int(band_starts(percent)[band + 1]) - 1
+    return (100 - percent) * (high + high * 100 // percent) // (100 + percent)
+
+
+class Segments:
+    """The tokens of some documents, hashed into m[i] segments of document use[i]; one cell a segment.
+
+    doc, seg: of each cell; count: its tokens; total: the sum of their values; cell, value: of each token.
+    """
+
+    __slots__ = ("doc", "seg", "count", "total", "salt", "cell", "value")
+
+    def __init__(self, doc: np.ndarray, h: np.ndarray, n: int, use: np.ndarray, of: np.ndarray, m: np.ndarray):
         base = np.concatenate([[0], np.cumsum(m)])
         local = np.full(n, -1, np.int64)
         local[use] = np.arange(len(use))
         tok = np.flatnonzero(local[doc] >= 0) if len(use) < n else np.arange(len(doc))
         d = local[doc[tok]]
         v = K.mix(h[tok])
-        seg = (((v >> U(32)) * m[d].astype(np.uint64)) >> U(32)).astype(np.int64)
-        cell = base[d] + seg
-        value = K.mix(v ^ U(0xA24BAED4963EE407))
+        self.cell = base[d] + (((v >> U(32)) * m[d].astype(np.uint64)) >> U(32)).astype(np.int64)
+        self.value = K.mix(v ^ U(0xA24BAED4963EE407))
         cells = int(base[-1])
-        count = np.bincount(cell, minlength=cells)
-        total = np.bincount(cell, (value & U(0xFFFFFFFF)).astype(np.float64), cells).astype(np.uint64) + (np.bincount(cell, (value >> U(32)).astype(np.float64), cells).astype(np.uint64) << U(32))
-        cell_doc = np.repeat(np.arange(len(use)), m)
-        cell_seg = np.arange(cells) - base[cell_doc]
-        salt = K.mix(cell_seg.astype(np.uint64) * U(0x9FB21C651E98DF25) + of[cell_doc].astype(np.uint64) * U(0xC2B2AE3D27D4EB4F) + U(1))
-        single = cell_seg < ones[cell_doc]
-        weak = (count == 0) | (single & (count <= 1))
-        lost = np.bincount(cell_doc[weak], np.where(single[weak], 2, 1), len(use))
-        all_kept = (lost > spare)[cell_doc]  # only then are entries of the empty subset written
-        keep = (count > 0) | all_kept
-        out_doc.append(use[cell_doc[keep]])
-        out.append(K.mix(total[keep] + salt[keep]))
-        one = single[cell] & ((count[cell] > 1) | all_kept[cell])
-        out_doc.append(use[d[one]])
-        out.append(K.mix(total[cell[one]] - value[one] + salt[cell[one]]))
+        self.count = np.bincount(self.cell, minlength=cells)
+        low = np.bincount(self.cell, (self.value & U(0xFFFFFFFF)).astype(np.float64), cells).astype(np.uint64)
+        self.total = low + (np.bincount(self.cell, (self.value >> U(32)).astype(np.float64), cells).astype(np.uint64) << U(32))
+        self.doc = np.repeat(np.arange(len(use)), m)
+        self.seg = np.arange(cells) - base[self.doc]
+        self.salt = K.mix(self.seg.astype(np.uint64) * U(0x9FB21C651E98DF25) + of[self.doc].astype(np.uint64) * U(0xC2B2AE3D27D4EB4F) + U(1))
+
+
+def _in_bands(doc: np.ndarray, n: int, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(documents, band whose scheme they are indexed by): each set's own band, for partners of its size or more, and the one before, for smaller ones."""
+    size = np.diff(K.split_points(doc, n))
+    band = np.searchsorted(band_starts(percent), size, "right") - 1
+    for back in (0, 1):
+        use = np.flatnonzero((size > 0) & (band >= back))
+        if len(use):
+            yield use, band[use] - back
+
+
+def entries(doc: np.ndarray, h: np.ndarray, n: int, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    """(document, entry) of all index entries of the sets given by sorted distinct (document, token)."""
+    out_doc, out = [], []
+    for use, of in _in_bands(doc, n, percent):
+        m, ones, spare = np.array([scheme(int(b), percent) for b in np.unique(of)])[np.unique(of, return_inverse=True)[1]].T
+        s = Segments(doc, h, n, use, of, m)
+        single = s.seg < ones[s.doc]
+        weak = (s.count == 0) | (single & (s.count <= 1))
+        lost = np.bincount(s.doc[weak], np.where(single[weak], 2, 1), len(use))
+        all_kept = (lost > spare)[s.doc]  # only then are entries of the empty subset written
+        keep = (s.count > 0) | all_kept
+        out_doc.append(use[s.doc[keep]])
+        out.append(K.mix(s.total[keep] + s.salt[keep]))
+        one = single[s.cell] & ((s.count[s.cell] > 1) | all_kept[s.cell])
+        at = s.cell[one]
+        out_doc.append(use[s.doc[at]])
+        out.append(K.mix(s.total[at] - s.value[one] + s.salt[at]))
     if not out:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     return np.concatenate(out_doc), np.concatenate(out)
 
 
+def fine_entries(doc: np.ndarray, h: np.ndarray, n: int, percent: int = PERCENT) -> tuple[np.ndarray, ...]:
+    """(document, band, need, empty, entry): FINER times as many segments as linked sets must have in common, all with budget 0.
+
+    If linked sets differ in at most H tokens, all but H of their segments are
+    alike.  So in any order of all entries that is the same for all sets, the first
+    H + 1 (need) of the one and of the other have one in common.  Empty segments
+    come last in that order, and are written only where there are too few others.
+    """
+    out = [[], [], [], [], []]
+    for use, of in _in_bands(doc, n, percent):
+        need = np.array([_differ(int(b), percent) + 1 for b in np.unique(of)])[np.unique(of, return_inverse=True)[1]]
+        s = Segments(doc, h, n, use, of, FINER * need)
+        full = np.bincount(s.doc[s.count > 0], minlength=len(use))
+        keep = ((s.count > 0) | (full < need)[s.doc]) & (need > 1)[s.doc]  # sets that may not differ are equal
+        for column, x in zip(out, (use[s.doc], of[s.doc], need[s.doc], s.count == 0, K.mix(s.total + s.salt)), strict=True):
+            column.append(x[keep])
+    return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in out)
+
+
 def _docs(docs: DataFrame) -> DataFrame:
     return K.bounded(docs).select(F.col("doc_id").cast("long").alias("node"), "text")
 
@@ -130,27 +175,58 @@ def _chunk_sets(batch: pa.RecordBatch) -> Iterator[tuple[K.Chunk, np.ndarray, np
         yield c, doc, h, batch.slice(c.first, c.n)
 
 
-def nodes(docs: DataFrame) -> DataFrame:
-    """node, n, two hashes and the parity sketch of every row's set."""
-    names = ["node", "n", "h1", "h2", *(f"s{i}" for i in range(SKETCH_WORDS))]
+def _digest(doc: np.ndarray, h: np.ndarray, n: int) -> list[np.ndarray]:
+    """Two 64-bit hashes of each of n sets."""
+    out = []
+    for seed in (0x2545F4914F6CDD1D, 0x9E6C63D0876A9A35):
+        v = K.mix(h ^ U(seed))
+        total = np.bincount(doc, (v & U(0xFFFFFFFF)).astype(np.float64), n).astype(np.uint64) + (np.bincount(doc, (v >> U(32)).astype(np.float64), n).astype(np.uint64) << U(32))
+        out.append(K.mix(total).view(np.int64))
+    return out
+
+
+def _names(doc: np.ndarray, h: np.ndarray, n: int, clash: np.ndarray) -> np.ndarray:
+    """The sets' names: the first hash, or both where other sets have the first too."""
+    one, two = _digest(doc, h, n)
+    return np.where(np.isin(one, clash), K.mix(one.view(np.uint64) * U(3) + two.view(np.uint64)).view(np.int64), one) if len(clash) else one
+
+
+def _sketch(h: np.ndarray) -> np.ndarray:
+    """Parities of the tokens by the low bits of a hash; that of half the bits is the two halves' xor."""
+    bits = SKETCH_BITS
+    while bits < BITS_A_SHINGLE * len(h):
+        bits *= 2
+    odd = (np.bincount((K.mix(h ^ U(0x1CE4E5B9BF58476D)) & U(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view(np.int64)
+
+
+def nodes(docs: DataFrame, clash: tuple[int, ...] = ()) -> DataFrame:
+    """node, n, two hashes, the name (null: no shingles, or no doc_id) and the parity sketch of every row's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = 64 * SKETCH_WORDS
+        apart = np.array(clash, np.int64)
         for b in batches:
             for c, doc, h, part in _chunk_sets(b):
-                n = np.diff(K.split_points(doc, c.n))
-                sums = []
-                for seed in (0x2545F4914F6CDD1D, 0x9E6C63D0876A9A35):
-                    v = K.mix(h ^ U(seed))
-                    total = np.bincount(doc, (v & U(0xFFFFFFFF)).astype(np.float64), c.n).astype(np.uint64) + (np.bincount(doc, (v >> U(32)).astype(np.float64), c.n).astype(np.uint64) << U(32))
-                    sums.append(K.mix(total).view(np.int64))
-                bit = (K.mix(h ^ U(0x1CE4E5B9BF58476D)) % U(bits)).astype(np.int64)
-                odd = (np.bincount(doc * bits + bit, minlength=c.n * bits) & 1).astype(np.uint8).reshape(c.n, bits)
-                words = np.packbits(odd, axis=1, bitorder="little").view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n.astype(np.int64)), *(pa.array(s) for s in sums), *(pa.array(np.ascontiguousarray(words[:, i])) for i in range(SKETCH_WORDS))], names)
+                at = K.split_points(doc, c.n)
+                one, two = _digest(doc, h, c.n)
+                n, node = pa.array(np.diff(at).astype(np.int64)), part.column(0)
+                name = pa.array(_names(doc, h, c.n, apart), mask=(np.diff(at) == 0) | node.is_null().to_numpy(zero_copy_only=False))
+                sketch = pa.array([_sketch(h[at[i] : at[i + 1]]) for i in range(c.n)], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([node, n, pa.array(one), pa.array(two), name, sketch], ["node", "n", "h1", "h2", "name", "sketch"])
         K.trim()
 
-    return _docs(docs).mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    return _docs(docs).mapInArrow(run, "node long, n long, h1 long, h2 long, name long, sketch array<long>")
+
+
+def _known(docs: DataFrame) -> tuple[DataFrame, tuple[int, ...]]:
+    """nodes(), written, and the first hashes that different sets share: one in 10**9 documents is rare, so they go to the driver."""
+    known = K.written(nodes(docs), "jaccard-nodes")
+    two = known.where("name IS NOT NULL").groupBy("h1").agg(F.min("h2").alias("lo"), F.max("h2").alias("hi"), F.min("n").alias("least"), F.max("n").alias("most"))
+    clash = tuple(r.h1 for r in two.where("lo <> hi OR least <> most").select("h1").toLocalIterator())
+    if not clash:
+        return known, clash
+    K.discard(known)
+    return K.written(nodes(docs, clash), "jaccard-nodes"), clash
 
 
 _PACKED = "kind int, bucket int, a binary, b binary"
@@ -182,22 +258,27 @@ def _stars(entry: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, ...]:
     return entry[at], node[at], pairs[:, 0], pairs[:, 1], entry[several], node[several]
 
 
-def index(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Packed rows: kind 1 pairs of an entry's first node and another, kind 2 (entry, node) of entries with three nodes or more.
+def index(docs: DataFrame, percent: int = PERCENT, clash: tuple[int, ...] = ()) -> DataFrame:
+    """Packed rows: kind 1 pairs of an entry's first set and another, kind 2 (entry, set) of entries with three sets or more.
 
-    Within a chunk an entry's first node alone goes on, so that what is dealt out
-    of a group of copies is one row a chunk.
+    Within a chunk copies are one set, and an entry's first set alone goes on, so
+    that what is dealt out of a group of copies is one row a chunk.
     """
     n_buckets = 8 * K.partitions_for(docs.sparkSession)
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        apart = np.array(clash, np.int64)
         for b in batches:
             for c, doc, h, part in _chunk_sets(b):
-                ids = part.column(0).to_numpy(zero_copy_only=False)
-                known = np.array([x is not None for x in part.column(0).to_pylist()]) if part.column(0).null_count else np.ones(c.n, bool)
-                ids = np.where(known, ids, 0).astype(np.int64)
-                d, e = entries(doc, h, c.n, percent)
-                d, e = d[known[d]], e[known[d]]
+                ids = _names(doc, h, c.n, apart)
+                use = np.zeros(c.n, bool)
+                use[np.unique(ids, return_index=True)[1]] = True  # copies within the chunk have the same entries
+                if part.column(0).null_count:
+                    known = part.column(0).is_valid().to_numpy(zero_copy_only=False)
+                    use[:] = False
+                    use[np.flatnonzero(known)[np.unique(ids[known], return_index=True)[1]]] = True
+                here = use[doc]
+                d, e = entries(doc[here], h[here], c.n, percent)
                 e, node, pa_, pb, ge, gn = _stars(e, ids[d])
                 rows = []
                 for kind, key, x, y in ((0, e, e.view(np.int64), node), (1, pa_.view(np.uint64) + pb.view(np.uint64), pa_, pb), (2, ge, ge.view(np.int64), gn)):
@@ -249,37 +330,49 @@ def _unpacked(packed: DataFrame, kind: int, names: tuple[str, str]) -> DataFrame
     return packed.where(F.col("kind") == kind).select("a", "b").mapInArrow(run, f"{names[0]} long, {names[1]} long")
 
 
+def _parted(a: str, b: str) -> F.Column:
+    """In how many bits two sketches differ, the longer one folded; partners' sketches differ in length by a factor of two at most."""
+    folded = lambda s: F.zip_with(F.slice(s, 1, (F.size(s) / 2).cast("int")), F.slice(s, (F.size(s) / 2).cast("int") + 1, (F.size(s) / 2).cast("int")), lambda x, y: x.bitwiseXOR(y))
+    differ = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, n: t + n)
+    a, b = F.col(a), F.col(b)
+    return F.when(F.size(a) == F.size(b), differ(a, b)).when(F.size(a) > F.size(b), differ(folded(a), b)).otherwise(differ(a, folded(b)))
+
+
 def _may_link(percent: int) -> F.Column:
     """True for every linked pair (a_*, b_*): bounds on the sizes, and the parity sketches' difference."""
-    xor = sum((F.bit_count(F.col(f"a_s{i}").bitwiseXOR(F.col(f"b_s{i}"))) for i in range(SKETCH_WORDS)), F.lit(0))
     size = (100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")) & (F.least("a_n", "b_n") > 0)
-    return size & (xor * (100 + percent) <= (100 - percent) * (F.col("a_n") + F.col("b_n")))
+    return F.when(size, _parted("a_sketch", "b_sketch") * (100 + percent) <= (100 - percent) * (F.col("a_n") + F.col("b_n"))).otherwise(False)
 
 
 def _side(table: DataFrame, side: str) -> DataFrame:
-    return table.select(*(F.col(c).alias(f"{side}_{c}" if c != "node" else f"{side}_node") for c in table.columns))
+    return table.select(*(F.col(c).alias(f"{side}_{c}") for c in table.columns))
 
 
-def _candidates(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
-    """a, b, same (their sets are alike) of the pairs that bounds do not rule out."""
-    a, b = _side(known, "a"), _side(known, "b")
-    both = pairs.join(a, F.col("a") == F.col("a_node")).join(b, F.col("b") == F.col("b_node")).where(_may_link(percent))
-    return both.select("a", "b", ((F.col("a_h1") == F.col("b_h1")) & (F.col("a_h2") == F.col("b_h2")) & (F.col("a_n") == F.col("b_n"))).alias("same")).groupBy("a", "b").agg(F.max("same").alias("same"))
+def _candidates(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b of the pairs that bounds do not rule out."""
+    a, b = _side(sets, "a"), _side(sets, "b")
+    return pairs.join(a, F.col("a") == F.col("a_name")).join(b, F.col("b") == F.col("b_name")).where(_may_link(percent)).select("a", "b")
 
 
-def verified(docs: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """a, b of the pairs whose sets are similar enough, exactly."""
+def _texts_of(docs: DataFrame, names: DataFrame, sets: DataFrame) -> DataFrame:
+    """node and text of a row for each set named, among others of the same doc_id."""
     # written, so that Spark knows its size and broadcasts it only below its own limit
-    wanted = K.written(pairs.select(F.explode(F.array("a", "b")).alias("w")).distinct(), "jaccard-wanted")
-    texts = _docs(docs).join(wanted, F.col("node") == F.col("w"), "left_semi")
+    wanted = K.written(names.join(sets, "name").select(F.col("least").alias("w")).distinct(), "jaccard-wanted")
+    return _docs(docs).join(wanted, F.col("node") == F.col("w"), "left_semi")
+
+
+def verified(docs: DataFrame, pairs: DataFrame, sets: DataFrame, clash: tuple[int, ...] = (), percent: int = PERCENT) -> DataFrame:
+    """a, b of the pairs of sets that are similar enough, exactly."""
+    texts = _texts_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct(), sets)
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def tokens_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        apart = np.array(clash, np.int64)
         for batch in batches:
-            for c, doc, h, part in _chunk_sets(batch):
+            for c, doc, h, _ in _chunk_sets(batch):
                 at = K.split_points(doc, c.n)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([h[at[i] : at[i + 1]].tobytes() for i in range(c.n)], pa.binary())], ["node", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array(_names(doc, h, c.n, apart)), pa.array([h[at[i] : at[i + 1]].tobytes() for i in range(c.n)], pa.binary())], ["name", "tokens"])
 
-    tokens = K.written(texts.mapInArrow(sets, "node long, tokens binary"), "jaccard-sets")
+    tokens = K.written(texts.mapInArrow(tokens_of, "name long, tokens binary"), "jaccard-sets")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -293,34 +386,88 @@ def verified(docs: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> DataF
             keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
-    of_b = pairs.select("a", "b").join(tokens.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b")
-    return of_b.join(tokens.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long").distinct()
+    of_b = pairs.select("a", "b").join(tokens.select(F.col("name").alias("b"), F.col("tokens").alias("y")), "b")
+    return of_b.join(tokens.select(F.col("name").alias("a"), F.col("tokens").alias("x")), "a").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long").distinct()
 
 
-def link_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row."""
-    known = K.written(nodes(docs), "jaccard-nodes")
-    packed = K.written(index(docs, percent), "jaccard-index")
-    first = K.written(_candidates(_unpacked(packed, 1, ("a", "b")).distinct(), known, percent), "jaccard-pairs")
-    links = first.where("same").select("a", "b").unionByName(verified(docs, first.where("NOT same"), percent))
-    links = K.written(links, "jaccard-links")
-    found = K.written(components(links), "jaccard-components")
-    # entries whose members are not all in one component, and that were not settled by their one pair
-    members = _unpacked(packed, 2, ("entry", "node")).join(found, "node", "left").select("entry", "node", F.coalesce("component", "node").alias("component"))
+def _open(packed: DataFrame, found: DataFrame) -> DataFrame:
+    """name of the sets that share an entry with a set of another component."""
+    members = _unpacked(packed, 2, ("entry", "name")).distinct().join(found, "name", "left").select("entry", "name", F.coalesce("component", "name").alias("component"))
     members = K.written(members, "jaccard-members")
-    K.discard(packed)
     open_ = members.groupBy("entry").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select(F.col("entry").alias("open"))
-    rest = members.join(open_, F.col("entry") == F.col("open"), "left_semi").distinct()
-    rest = K.written(rest.join(known, "node"), "jaccard-rest")
+    out = K.written(members.join(open_, F.col("entry") == F.col("open"), "left_semi").select("name").distinct(), "jaccard-open")
     K.discard(members)
+    return out
+
+
+def _across(docs: DataFrame, names: DataFrame, sets: DataFrame, found: DataFrame, clash: tuple[int, ...], percent: int) -> DataFrame:
+    """a, b of different components among the sets named, with every linked pair, that bounds do not rule out.
+
+    Entries are ordered by their cost, the pairs across components that they would
+    make, and each set is indexed by its cheapest ones, as many as it needs: what is
+    common to a group is skipped by all that have enough of their own.  Of entries
+    with the same members one is enough; near copies share hundreds.
+    """
+
+    def fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        apart = np.array(clash, np.int64)
+        for batch in batches:
+            for c, doc, h, _ in _chunk_sets(batch):
+                d, band, need, empty, entry = fine_entries(doc, h, c.n, percent)
+                name = _names(doc, h, c.n, apart)[d]
+                for i in range(0, len(d), 65536):
+                    part = slice(i, i + 65536)
+                    columns = name[part], band[part], need[part], empty[part].astype(bool), entry[part].astype(np.uint64).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["of", "band", "need", "empty", "entry"])
+        K.trim()
+
+    group = names.join(found, "name", "left").select("name", F.coalesce("component", "name").alias("component"))
+    rows = _texts_of(docs, names, sets).mapInArrow(fine, "of long, band long, need long, empty boolean, entry long").distinct()
+    rows = K.written(rows.join(group, F.col("of") == F.col("name")).drop("of"), "jaccard-fine")
+    alike = ["members", "sum", "xor"]
+    by_component = rows.groupBy("entry", "component").agg(F.count("*").alias("n"))
+    cost = by_component.groupBy("entry").agg((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))).alias("cost"))
+    ranked = rows.join(cost, "entry").withColumn("rank", F.row_number().over(Window.partitionBy("name", "band").orderBy("empty", "cost", "entry")))
+    used = K.written(ranked.where("rank <= need AND cost > 0").select("entry", "name", "component"), "jaccard-used")
+    K.discard(rows)
+    shape = (F.count("*").alias("members"), F.sum(F.xxhash64("name").cast("decimal(38,0)")).alias("sum"), F.bit_xor(F.xxhash64(F.lit(1), "name")).alias("xor"))
+    once = used.groupBy("entry").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), *shape).where("lo < hi")
+    once = once.groupBy(*alike).agg(F.min("entry").alias("one")).select("one")
+    rest = K.written(used.join(once, F.col("entry") == F.col("one"), "left_semi").join(sets.select("name", "n", "sketch"), "name"), "jaccard-rest")
+    K.discard(used)
     a, b = _side(rest, "a"), _side(rest, "b")
-    across = a.join(b, (F.col("a_entry") == F.col("b_entry")) & (F.col("a_component") < F.col("b_component")) & _may_link(percent)).select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct()
-    tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    across = K.written(across.join(tried, ["a", "b"], "left_anti"), "jaccard-across")
-    if not across.isEmpty():
-        more = K.written(verified(docs, across, percent), "jaccard-links")
-        found = K.written(components(links.unionByName(more)), "jaccard-components")
-    return known.join(found, "node", "left").select(F.col("node").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component_id"))
+    pairs = a.join(b, (F.col("a_entry") == F.col("b_entry")) & (F.col("a_component") < F.col("b_component")) & _may_link(percent))
+    return pairs.select(F.least("a_name", "b_name").alias("a"), F.greatest("a_name", "b_name").alias("b")).distinct()
+
+
+def link_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row."""
+    known, clash = _known(docs)
+    named = known.where("name IS NOT NULL")
+    sets = K.written(named.groupBy("name").agg(F.min("node").alias("least"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "jaccard-sets")
+    packed = K.written(index(docs, percent, clash), "jaccard-index")
+    first = K.written(_candidates(_unpacked(packed, 1, ("a", "b")).distinct(), sets, percent), "jaccard-pairs")
+    # rows that repeat a doc_id tie their sets
+    several = named.groupBy("node").agg(F.min("name").alias("lo"), F.max("name").alias("hi")).where("lo < hi")
+    tied = named.join(several, "node").select(F.col("lo").alias("a"), F.col("name").alias("b")).where("a <> b").distinct()
+    links = K.written(verified(docs, first, sets, clash, percent).unionByName(tied), "jaccard-links")
+    found = K.written(components(links).withColumnRenamed("node", "name"), "jaccard-components")
+    open_ = _open(packed, found)
+    K.discard(packed)
+    if not open_.isEmpty():
+        tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        across = K.written(_across(docs, open_, sets, found, clash, percent), "jaccard-across")
+        more = K.written(verified(docs, across.join(tried, ["a", "b"], "left_anti"), sets, clash, percent), "jaccard-links")
+        found = K.written(components(links.unionByName(more)).withColumnRenamed("node", "name"), "jaccard-components")
+    linked = found.join(sets.select("name", "least"), "name")
+    linked = found.join(linked.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("name", "component_id")
+    of_set = sets.join(linked, "name", "left").select("name", F.coalesce("component_id", "least").alias("component_id"))
+    of_row = known.select("node", "n", "name").join(of_set, "name", "left")
+    # a row without shingles goes where the other rows of its doc_id go
+    bare = known.where("name IS NULL AND node IS NOT NULL").select(F.col("node").alias("bare")).distinct()
+    moved = K.written(of_row.where("name IS NOT NULL").join(bare, F.col("node") == F.col("bare"), "left_semi").groupBy("node").agg(F.min("component_id").alias("moved")), "jaccard-moved")
+    out = of_row.join(moved, "node", "left")
+    return out.select(F.col("node").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "moved", "node").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
