@@ -25,7 +25,7 @@ links; with fewer than 4 words its whole sequence is the one shingle; rows with
 the same doc_id are one node, which links if any of its texts does; rows with a
 null doc_id get a null component_id; other columns are ignored, whatever their
 names; an empty table gives an empty result.  A very long text is one set like
-any other: its worker holds 8 bytes a shingle and a sketch of 1/20 of that.
+any other: its worker holds 8 bytes a shingle and a sketch of 1/32 to 1/64 of that.
 """
 
 from __future__ import annotations
@@ -43,13 +43,13 @@ from . import kernel as K
 from .components import components
 
 PERCENT, SHINGLE = 85, 4
-#: Bits of the smallest sketch, and the least bits a shingle of a larger one: at 0.4, sets that have nothing in common differ in 1.6 times the bits that a link may.
-SKETCH_BITS, BITS_A_SHINGLE = 512, 0.4
+#: Bits of the smallest sketch, and the least bits a shingle of a larger one.
+SKETCH_BITS, BITS_A_SHINGLE = 512, 1
 #: The cost model: share of a document's shingles that others may hold too, and the cost of an entry shared by chance against that of writing one.
 SHARED, COLLISION = 0.6, 50.0
 
-#: Second round: segments a set, in multiples of those by which it is indexed.
-FINER = 3
+#: Second round: segments a set, in multiples of those by which it is indexed; entries a set by which its pairs are told to have been met before; members of an entry that a task compares with all others.
+FINER, FORMER, SLICE = 3, 16, 512
 
 U = K.U
 
@@ -191,17 +191,16 @@ def _names(doc: np.ndarray, h: np.ndarray, n: int, clash: np.ndarray) -> np.ndar
     return np.where(np.isin(one, clash), K.mix(one.view(np.uint64) * U(3) + two.view(np.uint64)).view(np.int64), one) if len(clash) else one
 
 
-def _sketch(h: np.ndarray) -> np.ndarray:
+def _sketch(h: np.ndarray, bits: int = SKETCH_BITS, least: float = BITS_A_SHINGLE) -> np.ndarray:
     """Parities of the tokens by the low bits of a hash; that of half the bits is the two halves' xor."""
-    bits = SKETCH_BITS
-    while bits < BITS_A_SHINGLE * len(h):
+    while bits < least * len(h):
         bits *= 2
     odd = (np.bincount((K.mix(h ^ U(0x1CE4E5B9BF58476D)) & U(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)
     return np.packbits(odd, bitorder="little").view(np.int64)
 
 
 def nodes(docs: DataFrame, clash: tuple[int, ...] = ()) -> DataFrame:
-    """node, n, two hashes, the name (null: no shingles, or no doc_id) and the parity sketch of every row's set."""
+    """node, n, two hashes, the name (null: no shingles, or no doc_id) and the parity sketches of every row's set, one by its size and a small one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         apart = np.array(clash, np.int64)
@@ -211,11 +210,11 @@ def nodes(docs: DataFrame, clash: tuple[int, ...] = ()) -> DataFrame:
                 one, two = _digest(doc, h, c.n)
                 n, node = pa.array(np.diff(at).astype(np.int64)), part.column(0)
                 name = pa.array(_names(doc, h, c.n, apart), mask=(np.diff(at) == 0) | node.is_null().to_numpy(zero_copy_only=False))
-                sketch = pa.array([_sketch(h[at[i] : at[i + 1]]) for i in range(c.n)], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([node, n, pa.array(one), pa.array(two), name, sketch], ["node", "n", "h1", "h2", "name", "sketch"])
+                sketches = (pa.array([_sketch(h[at[i] : at[i + 1]], least=least) for i in range(c.n)], pa.list_(pa.int64())) for least in (BITS_A_SHINGLE, 0))
+                yield pa.RecordBatch.from_arrays([node, n, pa.array(one), pa.array(two), name, *sketches], ["node", "n", "h1", "h2", "name", "sketch", "small"])
         K.trim()
 
-    return _docs(docs).mapInArrow(run, "node long, n long, h1 long, h2 long, name long, sketch array<long>")
+    return _docs(docs).mapInArrow(run, "node long, n long, h1 long, h2 long, name long, sketch array<long>, small array<long>")
 
 
 def _known(docs: DataFrame) -> tuple[DataFrame, tuple[int, ...]]:
@@ -338,10 +337,10 @@ def _parted(a: str, b: str) -> F.Column:
     return F.when(F.size(a) == F.size(b), differ(a, b)).when(F.size(a) > F.size(b), differ(folded(a), b)).otherwise(differ(a, folded(b)))
 
 
-def _may_link(percent: int) -> F.Column:
+def _may_link(percent: int, sketch: str = "sketch") -> F.Column:
     """True for every linked pair (a_*, b_*): bounds on the sizes, and the parity sketches' difference."""
     size = (100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")) & (F.least("a_n", "b_n") > 0)
-    return F.when(size, _parted("a_sketch", "b_sketch") * (100 + percent) <= (100 - percent) * (F.col("a_n") + F.col("b_n"))).otherwise(False)
+    return F.when(size, _parted(f"a_{sketch}", f"b_{sketch}") * (100 + percent) <= (100 - percent) * (F.col("a_n") + F.col("b_n"))).otherwise(False)
 
 
 def _side(table: DataFrame, side: str) -> DataFrame:
@@ -432,19 +431,25 @@ def _across(docs: DataFrame, names: DataFrame, sets: DataFrame, found: DataFrame
     K.discard(rows)
     shape = (F.count("*").alias("members"), F.sum(F.xxhash64("name").cast("decimal(38,0)")).alias("sum"), F.bit_xor(F.xxhash64(F.lit(1), "name")).alias("xor"))
     once = used.groupBy("entry").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), *shape).where("lo < hi")
-    once = once.groupBy(*alike).agg(F.min("entry").alias("one")).select("one")
-    rest = K.written(used.join(once, F.col("entry") == F.col("one"), "left_semi").join(sets.select("name", "n", "sketch"), "name"), "jaccard-rest")
+    once = once.groupBy(*alike).agg(F.min("entry").alias("one")).select("one", F.ceil(F.col("members") / SLICE).cast("int").alias("slices"))
+    rest = K.written(used.join(once, F.col("entry") == F.col("one")).drop("one"), "jaccard-rest")
     K.discard(used)
-    a, b = _side(rest, "a"), _side(rest, "b")
-    pairs = a.join(b, (F.col("a_entry") == F.col("b_entry")) & (F.col("a_component") < F.col("b_component")) & _may_link(percent))
-    return pairs.select(F.least("a_name", "b_name").alias("a"), F.greatest("a_name", "b_name").alias("b")).distinct()
+    # a pair is made at the first entry that it shares; the FORMER first ones of each side tell most others, and any that are left are dropped by distinct
+    former = rest.groupBy("name").agg(F.slice(F.sort_array(F.collect_set("entry")), 1, FORMER).alias("former"))
+    rest = K.written(rest.join(former, "name").join(sets.select("name", "n", "small"), "name"), "jaccard-rest")
+    a = _side(rest.withColumn("slice", F.pmod(F.xxhash64("name"), F.col("slices")).cast("int")), "a")
+    b = _side(rest.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))), "b")
+    fresh = F.coalesce(F.array_min(F.array_intersect("a_former", "b_former")) >= F.col("a_entry"), F.lit(True))
+    same = F.xxhash64("a_entry", "a_slice") == F.xxhash64("b_entry", "b_slice")  # one number; pairs that it makes by chance are told apart by their texts
+    pairs = a.join(b, same & F.when(F.when(F.col("a_component") < F.col("b_component"), _may_link(percent, "small")).otherwise(False), fresh).otherwise(False))
+    return _candidates(pairs.select(F.least("a_name", "b_name").alias("a"), F.greatest("a_name", "b_name").alias("b")).distinct(), sets, percent)
 
 
 def link_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     known, clash = _known(docs)
     named = known.where("name IS NOT NULL")
-    sets = K.written(named.groupBy("name").agg(F.min("node").alias("least"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "jaccard-sets")
+    sets = K.written(named.groupBy("name").agg(F.min("node").alias("least"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("small").alias("small")), "jaccard-sets")
     packed = K.written(index(docs, percent, clash), "jaccard-index")
     first = K.written(_candidates(_unpacked(packed, 1, ("a", "b")).distinct(), sets, percent), "jaccard-pairs")
     # rows that repeat a doc_id tie their sets
