@@ -504,6 +504,18 @@ def test_toxicity_on_held_out_rows(spark):
     assert kept.columns == docs.columns and kept.count() == sum(not x.predicted for x in got)
 
 
+def test_dictionaries_are_trained_and_length_does_not_dilute():
+    rows, labels = toxic_rows(1200)
+    truth = {i: t for i, _, t in labels}
+    model = toxicity.train([t for i, t, *_ in rows if truth[i]], [t for i, t, *_ in rows if not truth[i]])
+    magic = bytes.fromhex("37a430ec")  # of dictionaries that zstandard trained
+    assert model.ordinary[:4] == model.toxic[:4] == magic and model.ordinary != model.toxic
+    scorer = toxicity.Scorer(model)
+    clean = " ".join(t for i, t, *_ in rows[:600] if not truth[i])
+    bad = "vilething ka grotbag lo numbskull mi vilething nu grotbag re numbskull"
+    assert scorer.score(clean) < 0.7 <= scorer.score(bad) <= scorer.score(f"{clean} {bad} {clean}")
+
+
 def test_toxicity_with_nothing_to_learn(spark):
     docs = C.frame(spark, C.odd_rows())
     none = toxicity.classify(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int")).collect()
