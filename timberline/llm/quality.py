@@ -3,11 +3,15 @@
 Each document gets integer rule values.  Their distributions are summarised per
 (lang, source) as quantile sketches: counts in buckets whose width grows with
 the value, so that two sketches merge by adding counts and a quantile is exact
-to about 3 %.  Sketches merge upwards, from (lang, source) to lang to everything,
-and a group that is too small uses the sketch above it.  A rule's threshold is a
-fence beyond the upper (or below the lower) quartile; where the quartiles lie
-closer than a small spread, as where both are 0, that spread stands for their
-distance.  The thresholds are joined back to filter the documents.
+to about 3 %.  Sketches merge upwards, from (lang, source) to lang to everything.
+A rule's fence lies as far from the median as a quartile's outer fence would for
+a normal distribution; its scale is taken from the innermost quantile that is
+not the median itself, as three quarters of all documents may have no symbols at
+all.  A group's threshold is the mean of its own fence and that of the group
+above it, weighted by its documents and by PRIOR.  No fixed cutoff takes part.
+A sketch does not tell quantiles closer than 1/32 of their value, so a quartile
+counts as at least that far from the median.  One case is degenerate: where 98 of
+100 documents have no symbols (or the like), the fence is 0.  The thresholds are joined back to filter the documents.
 
 Contract (op2): words are [^\\x20\\x09-\\x0D]+ of every whole text; n_words,
 word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and kept as the
@@ -16,7 +20,8 @@ contract has them; kept is false for base_failed, else the verdict of the rules.
 Edge cases: null or empty text has no words, all counts 0, base_failed true; null
 lang or source is a group of its own; an empty table gives an empty result and
 no thresholds; ties fall in one bucket; repeated rows count each time; other
-columns are ignored, whatever their names.
+columns are ignored, whatever their names; a very long text is measured whole, in
+some 100 bytes of memory a word.
 """
 
 from __future__ import annotations
@@ -33,20 +38,30 @@ from . import kernel as K
 #: The symbols counted.
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-#: A group with fewer documents uses the thresholds above it; quartile distances of the fence; salts of the join's hot keys.
-MIN_GROUP, FENCE, SALTS = 200, 3, 16
+#: Documents that the group above counts as in a group's threshold; salts of the join's hot keys.
+PRIOR, SALTS = 30, 16
+#: Quantiles (per thousand) on either side of the median, from the inside, and what a distance from the median is multiplied by: 4.72, where a normal distribution has its outer fence, over the quantile's own.
+QUANTILES = ((250, "7.0e0"), (100, "3.68e0"), (50, "2.87e0"), (10, "2.03e0"))
 
-#: Least quartile distance of a rule's fence.
-LEAST_SPREAD = {"symbols": 17, "dup_lines": 120, "repeats": 100, "long_words": 64, "short_words": 64}
-
-#: Rules: name, value per thousand, side, and the fixed floor (upper rules) or ceiling (lower rules) that only the SQL still has.
+#: Rules: name, value per thousand (or per hundred words), side.
 RULES = (
-    ("symbols", "n_symbols * 1000 div greatest(word_chars, 1)", "upper", 50),
-    ("dup_lines", "n_dup_lines * 1000 div greatest(n_lines, 1)", "upper", 500),
-    ("repeats", "n_repeat_words * 1000 div greatest(n_words, 1)", "upper", 400),
-    ("long_words", "word_chars * 100 div greatest(n_words, 1)", "upper", 1000),
-    ("short_words", "word_chars * 100 div greatest(n_words, 1)", "lower", 250),
+    ("symbols", "n_symbols * 1000 div greatest(word_chars, 1)", "upper"),
+    ("dup_lines", "n_dup_lines * 1000 div greatest(n_lines, 1)", "upper"),
+    ("repeats", "n_repeat_words * 1000 div greatest(n_words, 1)", "upper"),
+    ("long_words", "word_chars * 100 div greatest(n_words, 1)", "upper"),
+    ("short_words", "word_chars * 100 div greatest(n_words, 1)", "lower"),
 )
+_PARTS = sorted([500, *(q for q, _ in QUANTILES), *(1000 - q for q, _ in QUANTILES)])
+_LEAST = f"{QUANTILES[0][1]} * p500 / 32e0"
+_UPPER_FENCE = "p500 + greatest(CASE " + " ".join(f"WHEN p{1000 - q} > p500 THEN {a} * (p{1000 - q} - p500)" for q, a in QUANTILES) + f" ELSE 0e0 END, {_LEAST})"
+_LOWER_FENCE = "p500 - greatest(CASE " + " ".join(f"WHEN p{q} < p500 THEN {a} * (p500 - p{q})" for q, a in QUANTILES) + f" ELSE 0e0 END, {_LEAST})"
+#: The fence of a rule from its quantiles, in SQL that both engines read.
+_FENCE = f"CASE WHEN rule IN ({', '.join(repr(name) for name, _, side in RULES if side == 'lower')}) THEN {_LOWER_FENCE} ELSE {_UPPER_FENCE} END"
+
+
+def _shrunk(docs: str, own: str, above: str) -> str:
+    return f"({docs} * {own} + {PRIOR} * {above}) / ({docs} + {PRIOR})"
+
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(SYMBOLS)] = True
@@ -124,33 +139,30 @@ def bucket_top(b: Column) -> Column:
 
 def sketches(rows: DataFrame) -> DataFrame:
     """lang, source, rule, bucket, n: one mergeable sketch for each group and rule."""
-    values = F.array(*(F.struct(F.lit(name).alias("rule"), F.expr(value).cast("long").alias("value")) for name, value, _, _ in RULES))
+    values = F.array(*(F.struct(F.lit(name).alias("rule"), F.expr(value).cast("long").alias("value")) for name, value, _ in RULES))
     return rows.select("lang", "source", F.explode(values).alias("v")).select("lang", "source", "v.rule", bucket(F.col("v.value")).alias("bucket")).groupBy("lang", "source", "rule", "bucket").agg(F.count("*").alias("n"))
 
 
-def quartiles(sketch: DataFrame, by: list[str]) -> DataFrame:
-    """by, rule, docs, q1, q3 after merging all sketches of each group."""
+def fences(sketch: DataFrame, by: list[str]) -> DataFrame:
+    """by, rule, docs and fence after merging all sketches of each group."""
     merged = sketch.groupBy(*by, "rule", "bucket").agg(F.sum("n").alias("n"))
     counts = merged.groupBy(*by, "rule").agg(F.sum("n").alias("docs"), F.sort_array(F.collect_list(F.struct("bucket", "n"))).alias("cells"))
     # buckets of a sketch are at most some 2,000, whatever the number of documents
     upto = F.expr("transform(sequence(1, size(cells)), i -> struct(cells[i - 1].bucket as bucket, aggregate(slice(cells, 1, i), 0L, (s, c) -> s + c.n) as upto))")
-    q = lambda num: bucket_top(F.expr(f"filter(upto, c -> c.upto * 4 >= docs * {num})[0].bucket"))
-    return counts.withColumn("upto", upto).select(*by, "rule", "docs", q(1).alias("q1"), q(3).alias("q3"))
+    quantile = lambda part: bucket_top(F.expr(f"filter(upto, c -> c.upto * 1000 >= docs * {part})[0].bucket")).cast("double").alias(f"p{part}")
+    return counts.withColumn("upto", upto).select(*by, "rule", "docs", *(quantile(p) for p in _PARTS)).select(*by, "rule", F.col("docs").cast("double").alias("docs"), F.expr(_FENCE).alias("fence"))
 
 
 def thresholds(rows: DataFrame) -> DataFrame:
-    """lang, source and for each rule its lower and upper fence, from the smallest group around it that is large enough."""
+    """lang, source and for each rule its threshold, drawn towards those of the groups above."""
     sketch = sketches(rows)
-    own, lang, everything = quartiles(sketch, ["lang", "source"]), quartiles(sketch, ["lang"]), quartiles(sketch, [])
-    up = lambda df, name, cols: df.select(*(F.col(c).alias(f"{name}_{c}") for c in cols), F.col("rule").alias(f"{name}_rule"), F.struct("docs", "q1", "q3").alias(name))
-    lang, everything = up(lang, "l", ["lang"]), up(everything, "g", [])
+    own, lang, everything = fences(sketch, ["lang", "source"]), fences(sketch, ["lang"]), fences(sketch, [])
+    lang = lang.select(F.col("lang").alias("l_lang"), F.col("rule").alias("l_rule"), F.col("docs").alias("l_docs"), F.col("fence").alias("l_fence"))
+    everything = everything.select(F.col("rule").alias("g_rule"), F.col("fence").alias("g_fence"))
+    # one row a rule is broadcast
     joined = own.join(lang, (F.col("lang").eqNullSafe(F.col("l_lang"))) & (F.col("rule") == F.col("l_rule"))).join(F.broadcast(everything), F.col("rule") == F.col("g_rule"))
-    chosen = joined.withColumn("q", F.when(F.col("docs") >= MIN_GROUP, F.struct("docs", "q1", "q3")).when(F.col("l.docs") >= MIN_GROUP, F.col("l")).otherwise(F.col("g")))
-    spread = lambda name: F.greatest(F.col("q.q3") - F.col("q.q1"), F.lit(LEAST_SPREAD[name]))
-    rule = lambda name, f: F.max(F.when(F.col("rule") == name, f))
-    return chosen.groupBy("lang", "source").agg(
-        *(rule(name, F.col("q.q3") + FENCE * spread(name) if side == "upper" else F.col("q.q1") - FENCE * spread(name)).alias(f"at_{name}") for name, _, side, _ in RULES)
-    )
+    chosen = joined.withColumn("above", F.expr(_shrunk("l_docs", "l_fence", "g_fence"))).withColumn("at", F.expr(_shrunk("docs", "fence", "above")))
+    return chosen.groupBy("lang", "source").agg(*(F.max(F.when(F.col("rule") == name, F.col("at"))).alias(f"at_{name}") for name, _, _ in RULES))
 
 
 def judge(docs: DataFrame) -> DataFrame:
@@ -159,7 +171,7 @@ def judge(docs: DataFrame) -> DataFrame:
     salt = F.pmod(F.xxhash64("doc_id", "n_words", "word_chars"), F.lit(SALTS)).cast("int")
     at = thresholds(rows).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).select(F.col("lang").alias("t_lang"), F.col("source").alias("t_source"), F.col("salt").alias("t_salt"), *(f"at_{r[0]}" for r in RULES))
     joined = rows.withColumn("salt", salt).join(at, F.col("lang").eqNullSafe(F.col("t_lang")) & F.col("source").eqNullSafe(F.col("t_source")) & (F.col("salt") == F.col("t_salt")), "left")
-    failed = F.array_compact(F.array(*(F.when(F.expr(value) > F.col(f"at_{name}") if side == "upper" else F.expr(value) < F.col(f"at_{name}"), F.lit(name)) for name, value, side, _ in RULES)))
+    failed = F.array_compact(F.array(*(F.when(F.expr(value) > F.col(f"at_{name}") if side == "upper" else F.expr(value) < F.col(f"at_{name}"), F.lit(name)) for name, value, side in RULES)))
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), (~base & (F.size(failed) == 0)).alias("kept"), F.array_join(failed, ",").alias("rules_failed"))
 
@@ -180,7 +192,7 @@ WITH base AS (
     CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
     CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, CAST(len(lines) AS BIGINT) AS n_lines FROM numbered LEFT JOIN rep USING (rid)
 ), v AS (
-  SELECT rid, lang, source, unnest([{", ".join("{'rule': '" + name + "', 'value': (" + value.replace(" div ", " // ") + ")}" for name, value, _, _ in RULES)}]) AS s FROM rows
+  SELECT rid, lang, source, unnest([{", ".join("{'rule': '" + name + "', 'value': (" + value.replace(" div ", " // ") + ")}" for name, value, _ in RULES)}]) AS s FROM rows
 ), b AS (
   SELECT lang, source, s.rule AS rule, CASE WHEN s.value < 64 THEN s.value ELSE (length(bin(s.value)) - 6) * 32 + s.value // CAST(pow(2, length(bin(s.value)) - 6) AS BIGINT) END AS bucket, count(*) AS n FROM v GROUP BY ALL
 ), levels AS (
@@ -188,18 +200,19 @@ WITH base AS (
 ), c AS (
   SELECT *, sum(n) OVER (PARTITION BY lvl, lang, source, rule ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY lvl, lang, source, rule) AS docs FROM levels
 ), q AS (
-  SELECT lvl, lang, source, rule, docs, min(bucket) FILTER (upto * 4 >= docs) AS b1, min(bucket) FILTER (upto * 4 >= docs * 3) AS b3 FROM c GROUP BY ALL
+  SELECT lvl, lang, source, rule, docs, {", ".join(f"min(bucket) FILTER (upto * 1000 >= docs * {p}) AS b{p}" for p in _PARTS)} FROM c GROUP BY ALL
 ), qv AS (
-  SELECT lvl, lang, source, rule, docs, CASE WHEN b1 < 64 THEN b1 ELSE (b1 - (b1 - 32) // 32 * 32 + 1) * CAST(pow(2, (b1 - 32) // 32) AS BIGINT) - 1 END AS q1,
-    CASE WHEN b3 < 64 THEN b3 ELSE (b3 - (b3 - 32) // 32 * 32 + 1) * CAST(pow(2, (b3 - 32) // 32) AS BIGINT) - 1 END AS q3 FROM q
+  SELECT lvl, lang, source, rule, CAST(docs AS DOUBLE) AS docs, {", ".join(f"CAST(CASE WHEN b{p} < 64 THEN b{p} ELSE (b{p} - (b{p} - 32) // 32 * 32 + 1) * CAST(pow(2, (b{p} - 32) // 32) AS BIGINT) - 1 END AS DOUBLE) AS p{p}" for p in _PARTS)} FROM q
+), qf AS (SELECT lvl, lang, source, rule, docs, {_FENCE} AS fence FROM qv
+), above AS (
+  SELECT l.lang, l.rule, {_shrunk("l.docs", "l.fence", "g.fence")} AS above FROM qf l JOIN qf g ON g.lvl = 2 AND g.rule = l.rule WHERE l.lvl = 1
 ), chosen AS (
-  SELECT o.lang, o.source, o.rule, CASE WHEN o.docs >= {MIN_GROUP} THEN o.q1 WHEN l.docs >= {MIN_GROUP} THEN l.q1 ELSE g.q1 END AS q1, CASE WHEN o.docs >= {MIN_GROUP} THEN o.q3 WHEN l.docs >= {MIN_GROUP} THEN l.q3 ELSE g.q3 END AS q3
-  FROM qv o JOIN qv l ON l.lvl = 1 AND l.lang IS NOT DISTINCT FROM o.lang AND l.rule = o.rule JOIN qv g ON g.lvl = 2 AND g.rule = o.rule WHERE o.lvl = 0
+  SELECT o.lang, o.source, o.rule, {_shrunk("o.docs", "o.fence", "above")} AS bound FROM qf o JOIN above a ON a.lang IS NOT DISTINCT FROM o.lang AND a.rule = o.rule WHERE o.lvl = 0
 ), fence AS (
-  SELECT lang, source, {", ".join(f"max(CASE WHEN rule = '{name}' THEN {f'greatest(q3 + {FENCE} * (q3 - q1), {floor})' if side == 'upper' else f'least(q1 - {FENCE} * (q3 - q1), {floor})'} END) AS at_{name}" for name, _, side, floor in RULES)} FROM chosen GROUP BY ALL
+  SELECT lang, source, {", ".join(f"max(CASE WHEN rule = '{name}' THEN bound END) AS at_{name}" for name, _, _ in RULES)} FROM chosen GROUP BY ALL
 ), f AS (
   SELECT rows.*, (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words) AS base_failed,
-    concat_ws(',', {", ".join(f"CASE WHEN ({value.replace(' div ', ' // ')}) {'>' if side == 'upper' else '<'} at_{name} THEN '{name}' END" for name, value, side, _ in RULES)}) AS rules_failed
+    concat_ws(',', {", ".join(f"CASE WHEN ({value.replace(' div ', ' // ')}) {'>' if side == 'upper' else '<'} at_{name} THEN '{name}' END" for name, value, side in RULES)}) AS rules_failed
   FROM rows LEFT JOIN fence ON fence.lang IS NOT DISTINCT FROM rows.lang AND fence.source IS NOT DISTINCT FROM rows.source
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rules_failed = '' AS kept, rules_failed FROM f
