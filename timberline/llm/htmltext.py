@@ -1,14 +1,17 @@
 """Layout-aware text of HTML pages.
 
 A tree builder with implied tags makes a tree of any input; visibility rules
-drop what a browser would not show; a renderer then emits all other text with its
-block spacing, lists (bullets and numbers, nested) and tables whose cells are
-aligned in columns.  Neither recurses, so depth is no limit.
+drop what a browser would not show (by element, attribute, style attribute and
+the simple selectors of style elements); a renderer then emits all other text
+with its block spacing, lists (bullets and numbers, nested) and tables whose
+cells are aligned in columns, also across rows and for wide characters.  Neither
+recurses, so depth is no limit.
 
 The query (op4) returns page_id, n_chars and n_lines (long) and text of every row.
 
 Edge cases: null or empty HTML gives an empty text; unclosed tags, comments and
-quotes end with the page; repeated rows are each rendered; other columns are
+quotes end with the page; pages of any length and depth are read whole, in memory
+of some 100 bytes an element; repeated rows are each rendered; other columns are
 ignored, whatever their names; an empty table gives an empty result.
 """
 
@@ -16,6 +19,8 @@ from __future__ import annotations
 
 import html
 import re
+import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -50,8 +55,6 @@ IMPLIED = {
 }
 IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title head html".split())
 FENCES = frozenset("table td th caption button template object".split())
-#: Elements open at a time; deeper ones become siblings, as in browsers.
-MAX_DEPTH = 512
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 _TAG = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|</[^a-zA-Z>][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>[^>=]+|=\s*\"[^\"]*\"|=\s*'[^']*'|=)*+)(?:>|\Z)", re.S)
@@ -77,11 +80,18 @@ def parse(page: str) -> Node:
     """The tree of a page."""
     root = Node("html", {})
     stack, at, n = [root], 0, len(page)
+    open_tags: Counter[str] = Counter()
+
+    def pop() -> None:
+        open_tags[stack.pop().tag] -= 1
 
     def close(names, fences) -> None:
+        if not any(open_tags[x] for x in names):
+            return
         for i in range(len(stack) - 1, 0, -1):
             if stack[i].tag in names:
-                del stack[i:]
+                while len(stack) > i:
+                    pop()
                 return
             if stack[i].tag in fences:
                 return
@@ -89,7 +99,7 @@ def parse(page: str) -> Node:
     def text(s: str) -> None:
         if s:
             if stack[-1].tag == "head" and s.strip():
-                stack.pop()
+                pop()
             stack[-1].children.append(s)
 
     while at < n:
@@ -110,7 +120,7 @@ def parse(page: str) -> Node:
         if m[1]:
             if tag == "br":
                 stack[-1].children.append(Node("br", {}))
-            elif tag == "p" and not any(x.tag == "p" for x in stack[1:]):
+            elif tag == "p" and not open_tags["p"]:
                 stack[-1].children.append(Node("p", {}))
             elif tag not in ("html", "body"):  # what follows them is still of the page
                 close(HEADINGS if tag in HEADINGS else (tag,), () if tag in FENCES or tag in ("tr", "thead", "tbody", "tfoot") else FENCES)
@@ -122,11 +132,11 @@ def parse(page: str) -> Node:
                     root.attrs.setdefault(k, v)
             continue
         if len(stack) > 1 and stack[-1].tag == "head" and tag not in IN_HEAD:
-            stack.pop()
+            pop()
         if tag in CLOSES_P:
             close(("p",), FENCES)
         if tag in HEADINGS and stack[-1].tag in HEADINGS:
-            stack.pop()
+            pop()
         if tag in IMPLIED:
             close(*IMPLIED[tag])
         node = Node(tag, _attrs(m[3]))
@@ -136,8 +146,9 @@ def parse(page: str) -> Node:
             body = page[at : end.start()] if end else page[at:]
             node.children.append(html.unescape(body) if tag in RCDATA else body)
             at = end.end() if end else n
-        elif tag not in VOID and len(stack) < MAX_DEPTH:
+        elif tag not in VOID:
             stack.append(node)
+            open_tags[tag] += 1
     return root
 
 
@@ -150,6 +161,47 @@ def is_hidden(node: Node) -> bool:
     return node.tag in HIDDEN or "hidden" in a or (node.tag == "dialog" and "open" not in a) or ("style" in a and bool(_DISPLAY_NONE.search(a["style"])))
 
 
+_RULE = re.compile(r"([^{}]*)\{([^{}]*)\}")
+_CSS_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
+_SELECTOR = re.compile(r"([a-zA-Z][\w-]*)?((?:[.#][\w-]+)*)")
+
+
+class Sheet:
+    """What style elements hide by simple selectors: a tag, classes and an id; the last rule that speaks of an element's display holds."""
+
+    def __init__(self, root: Node):
+        self.rules: list[tuple[str, frozenset[str], str, bool]] = []
+        todo: list[Node | str] = [root]
+        while todo:
+            node = todo.pop()
+            if isinstance(node, str):
+                continue
+            if node.tag == "style":
+                self._add("".join(x for x in node.children if isinstance(x, str)))
+            todo += reversed(node.children)
+
+    def _add(self, css: str) -> None:
+        depth_one = _CSS_COMMENT.sub(" ", css)
+        # rules within @media and the like hold on some screens only
+        depth_one = re.sub(r"@[^{};]*(?:;|\{(?:[^{}]|\{[^{}]*\})*\})", " ", depth_one)
+        for m in _RULE.finditer(depth_one):
+            display = re.findall(r"(?:^|;)\s*display\s*:\s*([a-z-]+)", m[2], re.I)
+            for selector in m[1].split(",") if display else ():
+                if (x := _SELECTOR.fullmatch(selector.strip())) and x[0]:
+                    names = re.findall(r"[.#][\w-]+", x[2])
+                    ids = [n[1:] for n in names if n[0] == "#"]
+                    if len(ids) < 2:
+                        self.rules.append(((x[1] or "").lower(), frozenset(n[1:] for n in names if n[0] == "."), ids[0] if ids else "", display[-1].lower() == "none"))
+
+    def hides(self, node: Node) -> bool:
+        out = False
+        classes = set(node.attrs.get("class", "").split()) if self.rules else ()
+        for tag, needed, name, hidden in self.rules:
+            if tag in ("", node.tag) and needed <= classes and (not name or name == node.attrs.get("id")):
+                out = hidden
+        return out
+
+
 class Block:
     """Lines of text being laid out: white space collapsed, margins merged, prefixes for lists and quotes."""
 
@@ -202,31 +254,52 @@ class Block:
         return self.lines
 
 
-def _table(rows: list[list[tuple[list[str], int]]]) -> list[str]:
-    """Rows of cells (lines, columns they span) with their columns aligned."""
+def _width(s: str) -> int:
+    """Columns of a terminal: two for wide characters, none for marks that combine."""
+    return len(s) if s.isascii() else sum(0 if unicodedata.combining(c) else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in s)
+
+
+def _table(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
+    """Rows of cells (lines, columns and rows they span) with their columns aligned; below a cell that spans rows its columns stay blank."""
     width: dict[int, int] = {}
+    placed, taken = [], {}
     for row in rows:
-        c = 0
-        for lines, span in row:
+        cells, c = [], 0
+        for lines, span, deep in row:
+            while taken.get(c, 0) > 0:
+                c += 1
+            cells.append((c, lines, span))
             if span == 1:
-                width[c] = max([width.get(c, 0), *map(len, lines)])
+                width[c] = max([width.get(c, 0), *map(_width, lines)])
+            for k in range(c, c + span):
+                taken[k] = max(taken.get(k, 0), deep)
             c += span
+        placed.append(cells)
+        taken = {k: n - 1 for k, n in taken.items() if n > 1}
     out = []
-    for row in rows:
-        for i in range(max([1, *(len(lines) for lines, _ in row)])):
-            cells, c = [], 0
-            for lines, span in row:
-                w = sum(width.get(k, 0) for k in range(c, c + span)) + 2 * (span - 1)
-                cells.append((lines[i] if i < len(lines) else "").ljust(w))
-                c += span
-            out.append("  ".join(cells).rstrip())
+    for cells in placed:
+        for i in range(max([1, *(len(lines) for _, lines, _ in cells)])):
+            line, at = "", 0
+            for c, lines, span in cells:
+                line += " " * sum(width.get(k, 0) + 2 for k in range(at, c))
+                text = lines[i] if i < len(lines) else ""
+                room = sum(width.get(k, 0) for k in range(c, c + span)) + 2 * (span - 1)
+                line += text + " " * (max(0, room - _width(text)) + 2)
+                at = c + span
+            out.append(line.rstrip())
     return [x for x in out if x]
 
 
+def _span(node: Node, name: str, most: int, nought: int) -> int:
+    value = node.attrs.get(name, "1")
+    return min(most, int(value) or nought) if re.fullmatch("[0-9]{1,9}", value) else 1
+
+
 def render(root: Node) -> str:
     """All visible text of a tree."""
     blocks = [Block()]
-    tables: list[list[list[tuple[list[str], int]]]] = []
+    tables: list[list[list[tuple[list[str], int, int]]]] = []
+    sheet = Sheet(root)
     counters: list[int | None] = []
     # (node or text, whether it ends, whether it is preformatted, whether it is visible)
     todo: list[tuple[Node | str, bool, bool, bool]] = [(root, False, False, True)]
@@ -242,9 +315,9 @@ def render(root: Node) -> str:
         if ends:
             if cell:
                 lines = blocks.pop().done()
-                span = node.attrs.get("colspan", "1")
                 tables[-1] = tables[-1] or [[]]
-                tables[-1][-1].append((lines, min(1000, max(1, int(span))) if span.isascii() and span.isdigit() else 1))
+                # the largest spans of HTML; 0 rows are all that are left
+                tables[-1][-1].append((lines, _span(node, "colspan", 1000, 1), _span(node, "rowspan", 65534, 65534)))
             elif tag == "table":
                 rows = tables.pop()
                 captions = blocks.pop().done()
@@ -268,7 +341,7 @@ def render(root: Node) -> str:
                 if tag in SPACED and not (tag in ("ul", "ol", "menu", "dir") and counters):
                     out.gap(1)
             continue
-        if is_hidden(node):
+        if is_hidden(node) or (sheet.rules and sheet.hides(node)):
             continue
         if "style" in node.attrs and (v := _VISIBILITY.search(node.attrs["style"])):
             visible = v[1].lower() == "visible"
