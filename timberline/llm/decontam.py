@@ -17,7 +17,8 @@ whole; items without words match nothing.
 
 Edge cases: null or empty texts match nothing; repeated doc_ids give one row for
 each item; of windows with the same similarity the first is reported; a null
-doc_id or item_id is reported as null; other columns are ignored, whatever their
+doc_id or item_id is reported as null; a very long text or item is searched
+whole, in 256 bytes of memory a word of the item; other columns are ignored, whatever their
 names; empty tables give an empty result.
 """
 
@@ -39,6 +40,8 @@ from . import kernel as K
 SHINGLE, SIMILARITY = 5, 0.8
 BITS, BLOCKS, RADIUS = 64, 4, 19
 ITEMS_AT_ONCE, BYTES_AT_ONCE = 1000, 8 << 20
+#: Words over which windows are fingerprinted at a time: 256 bytes each, and as many for the words of one item.
+STRETCH = 4096
 SCHEMA = "doc_id long, item_id long, similarity double, first_word long, n_words long"
 
 U = K.U
@@ -119,9 +122,17 @@ class Index:
             fits = active[active + m <= ends]
             start = fits[upto[fits + m - k + 1] - upto[fits] >= least(m)]
             same = set(np.flatnonzero(self.size == m).tolist())
-            for i in range(0, len(start), 2048):
-                part = start[i : i + 2048]
-                sums = _signs(s[(part[:, None] + np.arange(m - k + 1)).ravel()]).reshape(len(part), m - k + 1, BITS).sum(axis=1, dtype=np.int32)
+            i = 0
+            while i < len(start):
+                # windows that begin within a stretch: sums of signs by differences, whatever the windows' size
+                part = start[i : np.searchsorted(start, start[i] + STRETCH)]
+                i += len(part)
+                lo, hi = int(part[0]), int(part[-1]) + m - k + 1
+                upto_sign = np.zeros((hi - lo + 1, BITS), np.int32)
+                for j in range(lo, hi, STRETCH):
+                    np.cumsum(_signs(s[j : min(j + STRETCH, hi)]), axis=0, dtype=np.int32, out=upto_sign[j - lo + 1 : min(j + STRETCH, hi) - lo + 1])
+                    upto_sign[j - lo + 1 : min(j + STRETCH, hi) - lo + 1] += upto_sign[j - lo]
+                sums = upto_sign[part - lo + m - k + 1] - upto_sign[part - lo]
                 for w, items in zip(part.tolist(), self.near(_fingerprint(sums)), strict=True):
                     mine = Counter(s[w : w + m - k + 1].tolist()) if len(items) else None
                     for item in items.tolist():
