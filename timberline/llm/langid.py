@@ -32,8 +32,6 @@ from . import kernel as K
 from .toxicity import is_held_out
 
 PROFILE = 300
-#: A documented bound: more languages than this are an error rather than a large collection.
-MAX_LANGUAGES = 2000
 SCHEMA = "doc_id long, lang_pred string, score double"
 
 U = K.U
@@ -113,12 +111,10 @@ def learn(docs: DataFrame) -> dict[str, list[int]]:
     rows = K.bounded(docs).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~is_held_out("doc_id")).select(F.col("lang").cast("string").alias("lang"), "text")
     counts = rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     best = counts.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("rank") <= PROFILE)
-    found = best.limit(MAX_LANGUAGES * PROFILE + 1).collect()
-    if len(found) > MAX_LANGUAGES * PROFILE:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     out: dict[str, list[int]] = {}
-    for r in sorted(found, key=lambda r: (r.lang, r["rank"])):
-        out.setdefault(r.lang, []).append(r.gram)
+    # PROFILE numbers a language, whatever the number of documents
+    for r in best.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("rank", "gram"))).alias("grams")).toLocalIterator():
+        out[r.lang] = [g.gram for g in r.grams]
     return out
 
 
