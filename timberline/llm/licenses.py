@@ -28,33 +28,33 @@ BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2
 #: label, SPDX identifier as words, names as word regexes (the first word literal).
 FAMILIES = (
     ("mit", "mit", ("mit", "expat")),
-    ("apache-2", "apache 2 0", ("apache license version 2( 0)?", "apache( license)? 2( 0)?", "apache software license( version)? 2( 0)?")),
-    ("apache-1.1", "apache 1 1", ("apache( software)? license( version)? 1 1",)),
-    ("gpl-2", "gpl 2 0( only| or later)?", ("gnu general public license( version| v)? 2( 0)?", "gplv2", "gpl( version)? 2( 0)?")),
-    ("gpl-3", "gpl 3 0( only| or later)?", ("gnu general public license( version| v)? 3( 0)?", "gplv3", "gpl( version)? 3( 0)?")),
+    ("apache-2", "apache 2 0", ("apache license version 2( 0)?", "apache( license)? 2( 0)?", "apache software license( version| v)?( 2| v2)( 0)?")),
+    ("apache-1.1", "apache 1 1", ("apache( software)? license( version| v)?( 1| v1) 1",)),
+    ("gpl-2", "gpl 2 0( only| or later)?", ("gnu general public license( version| v)?( 2| v2)( 0)?", "gplv2", "gpl( version| v)?( 2| v2)( 0)?")),
+    ("gpl-3", "gpl 3 0( only| or later)?", ("gnu general public license( version| v)?( 3| v3)( 0)?", "gplv3", "gpl( version| v)?( 3| v3)( 0)?")),
     ("gpl", "gpl", ("gnu general public license", "gnu gpl", "gpl")),
-    ("lgpl-2.1", "lgpl 2 1( only| or later)?", ("gnu lesser general public license( version| v)? 2 1", "lgpl( version| v)? 2 1")),
-    ("lgpl-3", "lgpl 3 0( only| or later)?", ("gnu lesser general public license( version| v)? 3( 0)?", "lgplv3", "lgpl( version)? 3( 0)?")),
+    ("lgpl-2.1", "lgpl 2 1( only| or later)?", ("gnu lesser general public license( version| v)?( 2| v2) 1", "lgpl( version| v)?( 2| v2) 1")),
+    ("lgpl-3", "lgpl 3 0( only| or later)?", ("gnu lesser general public license( version| v)?( 3| v3)( 0)?", "lgplv3", "lgpl( version| v)?( 3| v3)( 0)?")),
     ("lgpl", "lgpl", ("gnu lesser general public license", "gnu library general public license", "gnu lgpl", "lgpl")),
-    ("agpl-3", "agpl 3 0( only| or later)?", ("gnu affero general public license( version| v)? 3( 0)?", "agplv3", "agpl( version)? 3( 0)?")),
+    ("agpl-3", "agpl 3 0( only| or later)?", ("gnu affero general public license( version| v)?( 3| v3)( 0)?", "agplv3", "agpl( version| v)?( 3| v3)( 0)?")),
     ("agpl", "agpl", ("gnu affero general public license", "gnu agpl", "agpl")),
     ("bsd-2", "bsd 2 clause", ("bsd 2 clause", "two clause bsd", "simplified bsd", "freebsd")),
     ("bsd-3", "bsd 3 clause", ("bsd 3 clause", "three clause bsd", "new bsd", "modified bsd", "revised bsd")),
     ("bsd-4", "bsd 4 clause", ("bsd 4 clause", "four clause bsd", "original bsd")),
     ("bsd", "bsd", ("bsd style", "bsd")),
     ("isc", "isc", ("isc", "internet systems consortium")),
-    ("mpl-1.1", "mpl 1 1", ("mozilla public license( version| v)? 1 1", "mpl 1 1")),
-    ("mpl-2", "mpl 2 0", ("mozilla public license( version| v)? 2( 0)?", "mpl 2( 0)?")),
-    ("epl-1", "epl 1 0", ("eclipse public license( version| v)? 1( 0)?", "epl 1( 0)?")),
-    ("epl-2", "epl 2 0", ("eclipse public license( version| v)? 2( 0)?", "epl 2( 0)?")),
+    ("mpl-1.1", "mpl 1 1", ("mozilla public license( version| v)?( 1| v1) 1", "mpl 1 1")),
+    ("mpl-2", "mpl 2 0", ("mozilla public license( version| v)?( 2| v2)( 0)?", "mpl 2( 0)?")),
+    ("epl-1", "epl 1 0", ("eclipse public license( version| v)?( 1| v1)( 0)?", "epl 1( 0)?")),
+    ("epl-2", "epl 2 0", ("eclipse public license( version| v)?( 2| v2)( 0)?", "epl 2( 0)?")),
     ("cddl", "cddl 1 [01]", ("common development and distribution license( 1 [01])?", "cddl")),
     ("artistic-2", "artistic 2 0", ("artistic license 2( 0)?", "perl artistic")),
-    ("boost-1", "bsl 1 0", ("boost software license( version)? 1( 0)?", "boost software")),
+    ("boost-1", "bsl 1 0", ("boost software license( version| v)?( 1| v1)( 0)?", "boost software")),
     ("zlib", "zlib", ("zlib", "zlib libpng")),
     ("unlicense", "unlicense", ("unlicense",)),
     ("wtfpl", "wtfpl", ("wtfpl",)),
-    ("psf-2", "psf 2 0|python 2 0", ("python software foundation license( version)? 2", "psf")),
-    ("ofl-1.1", "ofl 1 1", ("sil open font license( version)? 1 1", "open font license")),
+    ("psf-2", "psf 2 0|python 2 0", ("python software foundation license( version| v)?( 2| v2)", "psf")),
+    ("ofl-1.1", "ofl 1 1", ("sil open font license( version| v)?( 1| v1) 1", "open font license")),
     ("cc0", "cc0 1 0", ("cc0", "creative commons zero", "cc zero")),
     ("cc-by", "cc by [1-4] [05]", ("creative commons attribution", "cc by")),
     ("cc-by-sa", "cc by sa [1-4] [05]", ("creative commons attribution share ?alike", "cc by sa")),
@@ -85,8 +85,89 @@ SINGLE = (
     ("public-domain", "released into the public domain", 1, 0.9),
     ("proprietary", "all rights reserved", 4, 0.3),
     ("cc-by-nc", "cc by nc", 3, 0.9),
+    # notices
+    ("apache-2", "compliance with the license you may obtain a copy of the license at( http| https)?( www)? apache org licenses license 2 0", 0, 1.0),
+    ("apache-2", "apache org licenses license 2 0", 1, 0.95),
+    ("gpl-2", "either version 2 of the license or at your option any later version", 1, 0.8),
+    ("gpl-3", "either version 3 of the license or at your option any later version", 1, 0.8),
+    ("gpl", "received a copy of the gnu general public license along with this (program|software|library)", 0, 0.95),
+    ("lgpl", "received a copy of the gnu lesser general public license along with this (program|software|library)", 0, 0.95),
+    ("agpl", "received a copy of the gnu affero general public license along with this (program|software)", 0, 0.95),
+    ("gpl", "everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed", 1, 0.8),
+    ("mpl-2", "subject to the terms of the mozilla public license( v)?( 2| v2) 0", 0, 1.0),
+    ("mpl-1.1", "subject to the mozilla public license version 1 1", 0, 1.0),
+    ("epl-1", "available under the terms of the eclipse public license v1 0", 0, 1.0),
+    ("epl-2", "available under the terms of the eclipse public license 2 0", 0, 1.0),
+    ("cddl", "subject to the terms of the common development and distribution license", 0, 1.0),
+    ("mit", "copyright notice and this permission notice shall be included in all copies or substantial portions of the software", 0, 1.0),
+    ("isc", "copyright notice and this permission notice appear in all copies", 0, 1.0),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", 0, 1.0),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice", 0, 0.9),
+    ("bsd-3", "derived from this software without specific prior written permission", 0, 0.95),
+    ("boost-1", "obtaining a copy of the software and accompanying documentation covered by this license", 0, 1.0),
+    ("zlib", "permission is granted to anyone to use this software for any purpose including commercial applications", 0, 1.0),
+    ("unlicense", "free and unencumbered software released into the public domain", 0, 1.0),
+    ("proprietary", "proprietary and confidential all rights reserved", 3, 0.6),
+    ("proprietary", "reproduced( distributed or transmitted)? in any form or by any means without the prior written permission", 3, 0.6),
+    ("proprietary", "licensed not sold", 3, 0.5),
+    # titles of license texts
+    ("apache-2", "apache license version 2 0 january 2004", 0, 1.0),
+    ("gpl-2", "gnu general public license version 2 june 1991", 0, 1.0),
+    ("gpl-3", "gnu general public license version 3 29 june 2007", 0, 1.0),
+    ("lgpl-2.1", "gnu lesser general public license version 2 1 february 1999", 0, 1.0),
+    ("lgpl-3", "gnu lesser general public license version 3 29 june 2007", 0, 1.0),
+    ("agpl-3", "gnu affero general public license version 3 19 november 2007", 0, 1.0),
+    ("gfdl", "gnu free documentation license", 0, 0.9),
+    ("boost-1", "boost software license version 1 0 august 17th 2003", 0, 1.0),
+    ("ofl-1.1", "sil open font license version 1 1 26 february 2007", 0, 1.0),
+    ("wtfpl", "what the fuck you want to public license", 0, 1.0),
+    ("eupl", "european union public licen[sc]e", 0, 0.9),
+    ("ms-pl", "microsoft public license", 0, 0.9),
+    ("ms-rl", "microsoft reciprocal license", 0, 0.9),
+    ("cpl-1", "common public license( version)?( 1 0)?", 0, 0.9),
+    ("ipl-1", "ibm public license( version)?( 1 0)?", 0, 0.9),
+    ("qpl", "q public license", 0, 0.9),
+    ("afl", "academic free license", 0, 0.9),
+    ("osl", "open software license", 0, 0.9),
+    ("ecl-2", "educational community license( version)?( 2 0)?", 0, 0.9),
+    ("ncsa", "university of illinois ncsa open source license", 0, 0.95),
+    ("openssl", "openssl license", 0, 0.9),
+    ("php", "php license( version 3 0?1)?", 0, 0.9),
+    ("ruby", "ruby license", 0, 0.8),
+    ("vim", "vim license", 0, 0.8),
+    ("w3c", "w3c software( notice and)? license", 0, 0.9),
+    ("sspl-1", "server side public license", 0, 0.9),
+    ("bsl-1.1", "business source license( version)?( 1 1)?", 0, 0.9),
+    ("elastic-2", "elastic license( version)? 2( 0)?", 0, 0.9),
+    ("polyform-noncommercial", "polyform noncommercial license", 0, 0.9),
+    ("openrail", "open rail( [ms])? license", 0, 0.9),
+    ("openrail", "openrail( [ms])? license", 0, 0.9),
+    ("gpl-cpe", "gpl( v?2)?( 0)? with( the)? classpath exception", 0, 0.9),
+    ("mulan-2", "mulan permissive software license", 0, 0.9),
+    ("0bsd", "zero clause bsd license", 0, 0.9),
+    ("blueoak-1", "blue oak model license", 0, 0.9),
+    ("cecill", "cecill( [abc])? licen[sc]e", 0, 0.9),
+    ("upl-1", "universal permissive license", 0, 0.9),
+    # addresses
+    ("cc0", "creativecommons org publicdomain zero( 1 0)?", 0, 0.95),
+    ("cc-by", "creativecommons org licenses by( [1-4] [05])?", 1, 0.95),
+    ("cc-by-sa", "creativecommons org licenses by sa( [1-4] [05])?", 0, 0.95),
+    ("cc-by-nd", "creativecommons org licenses by nd( [1-4] [05])?", 0, 0.95),
+    ("cc-by-nc", "creativecommons org licenses by nc( [1-4] [05])?", 0, 0.95),
+    ("cc-by-nc-sa", "creativecommons org licenses by nc sa( [1-4] [05])?", 0, 0.95),
+    ("cc-by-nc-nd", "creativecommons org licenses by nc nd( [1-4] [05])?", 0, 0.95),
+    ("cc-by", "licensed under a creative commons attribution( [1-4] [05])?( international| unported)? license", 0, 1.0),
+    ("odbl", "opendatacommons org licenses odbl", 0, 0.95),
+    ("unlicense", "unlicense org", 1, 0.9),
+    ("mpl-2", "mozilla org mpl( mpl)?( 2 0)?( licen[sc]e)", 1, 0.9),
+    # in few words
+    ("gpl-2", "gplv2 only licen[sc]ed?", 1, 0.7),
+    ("gpl", "gpl licen[sc]ed", 1, 0.7),
+    ("mit", "mit licen[sc]ed", 1, 0.7),
+    ("bsd", "bsd licen[sc]ed", 1, 0.7),
+    ("apache-2", "apache 2( 0)? licen[sc]ed", 1, 0.7),
+    ("proprietary", "commercial licen[sc]e (required|only)", 3, 0.5),
 )
-WINDOW_WORDS = 24
 #: Stems of the keywords; a text without any holds no rule and no base phrase.
 PREFILTER = r"(?i)licen[sc]|cc[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+by|cc0|creative|gpl|permission|redistribution|public[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+domain|rights[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+reserved|under[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+|free[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+software|spdx"
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -116,6 +197,10 @@ def rules() -> list[Rule]:
     return out
 
 
+#: Words of the longest rule: what a rule has to see from its first word on.
+WINDOW_WORDS = max(len(r.pattern.split(" ")) for r in rules())
+
+
 def words_of(text: Column) -> Column:
     """The words of a text, as an array."""
     return F.filter(F.split(F.regexp_replace(F.translate(text, _UPPER, _LOWER), SEPARATOR, " "), " "), lambda w: w != "")
