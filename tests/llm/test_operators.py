@@ -79,6 +79,30 @@ def test_doc_ids_that_come_again_within_a_chunk(spark, ids):
     assert {k: sorted(v) for k, v in got.items()} == brute_repeats(rows)
 
 
+def test_rows_of_one_doc_id_with_different_texts(spark):
+    r = random.Random(8)
+    a, b, other = prose(r, 60, 90_000), prose(r, 60, 90_000), prose(r, 80, 90_000)
+    rows = [(1, a, "en", "a", 1), (2, f"{a} {b}", "en", "a", 1), (2, other, "en", "a", 1), (2, other, "en", "a", 1), (3, b, "en", "a", 1), (3, f"{other[:200]} {b}", "en", "a", 1), (4, "", "en", "a", 0), (4, b, "en", "a", 1)]
+    got = defaultdict(list)
+    for x in suffix.digests(C.frame(spark, rows)).collect():
+        got[x.doc_id].append((x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256))
+    want = brute_repeats(rows)
+    assert {k: sorted(v) for k, v in got.items()} == want and sorted(n for _, n, _, _ in want[2])[:2] == [0, 0]
+    left = sorted((x.doc_id, hashlib.sha256(x.text.encode()).hexdigest()) for x in suffix.without_repeats(C.frame(spark, rows)).collect())
+    assert left == sorted((d, x[3]) for d, v in want.items() for x in v)
+
+
+def test_a_passage_of_many_documents(spark, monkeypatch):
+    """Met again in later chunks of a task, and with a smaller doc_id later on."""
+    monkeypatch.setattr(K, "CHUNK_BYTES", 2000)
+    monkeypatch.setattr(K.chunks, "__defaults__", (2000,))
+    r = random.Random(11)
+    passage = prose(r, 50, 90_000)
+    rows = [(900 - i, f"{prose(r, 3, 90_000)} {passage} {prose(r, 3, 90_000)}", "en", "a", 1) for i in range(80)]
+    got = {x.doc_id: x.n_removed for x in suffix.digests(spark.createDataFrame(rows, C.SCHEMA).coalesce(1)).collect()}
+    assert got == {d: v[0][1] for d, v in brute_repeats(rows).items()}
+
+
 def test_text_without_repeats_keeps_columns_and_characters(spark):
     rows = C.odd_rows() + overlapping_rows()
     df = C.frame(spark, rows)
@@ -636,7 +660,7 @@ def test_odd_rows_in_shards(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="the tables are not here")
-@pytest.mark.parametrize("name", ["op2_quality_rules", "op3_decontamination", "op6_jaccard_join", "op8_license_scan"])
+@pytest.mark.parametrize("name", ["op1_suffix_dedup", "op2_quality_rules", "op3_decontamination", "op6_jaccard_join", "op8_license_scan"])
 def test_sql_gives_the_same(spark, name):
     import duckdb
 

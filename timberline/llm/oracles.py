@@ -29,3 +29,21 @@ WITH RECURSIVE d AS (
 ), least AS (SELECT a, min(r) AS r FROM reach GROUP BY a)
 SELECT doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, r AS component_id FROM d LEFT JOIN n USING (rid) LEFT JOIN least ON least.a = d.doc_id
 """
+
+#: Every 50-byte string of every text, with the least doc_id that has it; runs of covered bytes by gaps and islands.
+REPEATS = """
+WITH b AS (SELECT row_number() OVER () AS rid, doc_id, encode(coalesce(text, '')) AS b FROM documents
+), w AS (SELECT rid, doc_id, p, b[p:p + 49] AS s FROM b, unnest(range(1, octet_length(b) - 48)) AS t(p) WHERE doc_id IS NOT NULL
+), m AS (SELECT s, min(doc_id) AS least FROM w GROUP BY s HAVING min(doc_id) < max(doc_id)
+), hit AS (SELECT rid, p, CASE WHEN p - lag(p) OVER (PARTITION BY rid ORDER BY p) <= 50 THEN 0 ELSE 1 END AS new FROM w JOIN m USING (s) WHERE doc_id > least
+), isle AS (SELECT rid, p, sum(new) OVER (PARTITION BY rid ORDER BY p) AS k FROM hit
+), span AS (SELECT rid, k, min(p) AS a, max(p) + 50 AS z FROM isle GROUP BY rid, k
+), gap AS (SELECT rid, a, z, lag(z, 1, 1) OVER (PARTITION BY rid ORDER BY a) AS since FROM span
+), cut AS (
+  SELECT rid, sum(z - a) AS n_removed, count(*) AS n_spans, string_agg(hex(CASE WHEN a > since THEN b[since:a - 1] ELSE ''::BLOB END), '' ORDER BY a) AS kept, max(z) AS upto
+  FROM gap JOIN b USING (rid) GROUP BY rid
+)
+SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  CASE WHEN n_spans IS NULL THEN sha256(b) ELSE sha256(unhex(kept || hex(CASE WHEN upto <= octet_length(b) THEN b[upto:octet_length(b)] ELSE ''::BLOB END))) END AS kept_sha256
+FROM b LEFT JOIN cut USING (rid)
+"""

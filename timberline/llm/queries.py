@@ -60,4 +60,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": quality.ORACLE_SQL, "op3_decontamination": oracles.LEAKS, "op6_jaccard_join": oracles.LINKS, "op8_license_scan": licenses.ORACLE_SQL}
+    return {"op1_suffix_dedup": oracles.REPEATS, "op2_quality_rules": quality.ORACLE_SQL, "op3_decontamination": oracles.LEAKS, "op6_jaccard_join": oracles.LINKS, "op8_license_scan": licenses.ORACLE_SQL}

@@ -15,18 +15,20 @@ those suffixes alone that can tie with one of another document:
    whole 50 bytes and confirmed byte by byte; in each class of equal suffixes all
    but those of the least doc_id are repeats.
 
-A worker holds one chunk of text or one bucket.  Stretches that are alike within
-a chunk go on once, so a passage that very many documents share costs a bucket
-one stretch a chunk.
+A worker holds one chunk of text or one bucket, and there is a bucket for each
+BUCKET_BYTES of text.  Stretches that are alike within a chunk go on once, and
+those that many share once for a whole task, so that a passage of very many
+documents costs its bucket one stretch a task or so.
 
 Contract (op1): texts as UTF-8 bytes; each byte is removed that a 50-byte string
 covers which also starts in a document with a smaller doc_id.
 
 Edge cases: null text is empty, and nothing of it or of a text under 50 bytes is
 removed; equal texts lose everything but the first copy's; rows that repeat a
-doc_id are one document, so they do not remove each other (they are to have the
-same text); a null doc_id neither removes nor loses anything; other columns are
-ignored, whatever their names; an empty table gives an empty result.
+doc_id do not remove each other, and each loses what it has itself in common with
+smaller doc_ids; a null doc_id neither removes nor loses anything; a very long
+text is one chunk, at some 60 bytes of memory a byte; other columns are ignored,
+whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -51,16 +53,38 @@ U = K.U
 _IN_COVER = np.isin(np.arange(PERIOD), COVER)
 
 
-def _docs(docs: DataFrame) -> DataFrame:
-    return K.bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+#: Bytes of text for which there is a bucket.
+BUCKET_BYTES = 1 << 20
 
 
-def _buckets(docs: DataFrame) -> int:
-    return 8 * K.partitions_for(docs.sparkSession)
+class Source:
+    """The documents, how many buckets their bytes call for, and what tells rows of one doc_id apart.
+
+    form is 0 but for doc_ids that come again, whose rows have the hash of their text.
+    """
+
+    def __init__(self, docs: DataFrame):
+        self.docs, spark = K.bounded(docs), docs.sparkSession
+        ids = self.docs.groupBy(F.col("doc_id").cast("long").alias("again")).agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
+        ids = K.written(ids, "suffix-ids")
+        self.partitions = K.partitions_for(spark)
+        self.buckets = max(8 * self.partitions, (ids.agg(F.sum("bytes")).first()[0] or 0) // BUCKET_BYTES)
+        self.again = K.written(ids.where("n > 1 AND again IS NOT NULL").select("again"), "suffix-again")
+        K.discard(ids)
+        self.forms = not self.again.isEmpty()
+
+    def rows(self, *more: str) -> DataFrame:
+        """doc_id, text, form, and more columns."""
+        rows = self.docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *more)
+        if not self.forms:
+            return rows.withColumn("form", F.lit(0).cast("long"))
+        return rows.join(self.again, F.col("doc_id") == F.col("again"), "left").withColumn("form", F.when(F.col("again").isNotNull(), F.xxhash64("text")).otherwise(0)).drop("again")
 
 
 #: Repeats that a task holds before it deals them out by document.
 HELD_REPEATS = 500_000
+#: A stretch that so many documents of a chunk share is looked for in the task's next chunks, too; how many are remembered before the task begins anew.
+HOT, MET = 3, 200_000
 
 
 def _pack_low(values: np.ndarray) -> bytes:
@@ -110,14 +134,15 @@ def sample(chunk: K.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return at, doc[at], K.mix(K.window_hashes(chunk.data, RANKED)[at]) if len(at) else np.zeros(0, np.uint64)
 
 
-def shared_places(docs: DataFrame) -> DataFrame:
-    """doc_id and the places (binary, int32) of its sampled suffixes whose rank another document shares."""
-    n_buckets, n = _buckets(docs), K.partitions_for(docs.sparkSession)
+def shared_places(source: Source) -> DataFrame:
+    """doc_id, form and the places (binary, int32) of its sampled suffixes whose rank another document shares."""
+    n_buckets, n = source.buckets, source.partitions
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for c in K.chunks(batch.column(1)):
                 ids = batch.column(0).slice(c.first, c.n).to_numpy(zero_copy_only=False).astype(np.int64)
+                forms = batch.column(2).slice(c.first, c.n).to_numpy().astype(np.int64)
                 key = int.from_bytes(hashlib.blake2b(ids.tobytes() + c.off.tobytes() + hashlib.blake2b(c.data.tobytes(), digest_size=16).digest(), digest_size=8).digest(), "little", signed=True)
                 at, doc, rank = sample(c)
                 order = np.argsort(rank, kind="stable")
@@ -130,7 +155,7 @@ def shared_places(docs: DataFrame) -> DataFrame:
                 inside = np.repeat(several, length)
                 send = ~inside
                 send[starts] = True
-                rows = [(_TABLE, key % n_buckets, key, ids.tobytes(), c.off.tobytes())]
+                rows = [(_TABLE, key % n_buckets, key, ids.tobytes() + forms.tobytes(), c.off.tobytes())]
                 if inside.any():
                     rows.append((_SHARED, key % n_buckets, key, _pack_places(np.sort(at[inside])), b""))
                 at, rank = at[send], rank[send]
@@ -181,11 +206,13 @@ def shared_places(docs: DataFrame) -> DataFrame:
     def by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(held: list) -> pa.RecordBatch:
             ids, off = next((np.frombuffer(a, np.int64), np.frombuffer(b, np.int64)) for kind, a, b in held if kind == _TABLE)
+            ids, forms = ids.reshape(2, -1)
             places = [_unpack_places(a) for kind, a, _ in held if kind == _SHARED]
             places = np.unique(np.concatenate(places)) if places else np.zeros(0, np.int64)
             cuts = np.searchsorted(places, off)
             use = np.flatnonzero(np.diff(cuts))
-            return pa.RecordBatch.from_arrays([pa.array(ids[use]), pa.array([(places[cuts[i] : cuts[i + 1]] - off[i]).astype("<i4").tobytes() for i in use.tolist()], pa.binary())], ["doc_id", "places"])
+            found = [(places[cuts[i] : cuts[i + 1]] - off[i]).astype("<i4").tobytes() for i in use.tolist()]
+            return pa.RecordBatch.from_arrays([pa.array(ids[use]), pa.array(forms[use]), pa.array(found, pa.binary())], ["doc_id", "form", "places"])
 
         at, held = None, []
         for batch in batches:
@@ -198,9 +225,9 @@ def shared_places(docs: DataFrame) -> DataFrame:
         if held:
             yield flush(held)
 
-    sampled = _docs(docs).where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= LENGTH)).mapInArrow(local, _SAMPLE)
+    sampled = source.rows().where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= LENGTH)).mapInArrow(local, _SAMPLE)
     replies = K.written(sampled.repartition(n, "bucket").sortWithinPartitions("bucket", "kind", "chunk").mapInArrow(compare, _SAMPLE), "suffix-shared")
-    return replies.repartition(n, "chunk").sortWithinPartitions("chunk").mapInArrow(by_document, "doc_id long, places binary")
+    return replies.repartition(n, "chunk").sortWithinPartitions("chunk").mapInArrow(by_document, "doc_id long, form long, places binary")
 
 
 # ---------------------------------------------------------- 2. suffix buckets
@@ -240,13 +267,13 @@ def _bucket_rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[2:])], ["kind", "bucket", "docs", "starts", "lengths", "text"])
 
 
-def _repeat_rows(ids: np.ndarray, start: np.ndarray, end: np.ndarray, n_buckets: int) -> list[tuple]:
+def _repeat_rows(ids: np.ndarray, forms: np.ndarray, start: np.ndarray, end: np.ndarray, n_buckets: int) -> list[tuple]:
     """Repeated stretches, as bytes start..end of documents, dealt by document."""
-    bucket = (K.mix(ids.view(np.uint64)) % U(n_buckets)).astype(np.int64)
-    order = np.lexsort((start, ids, bucket))
-    ids, start, end = ids[order], start[order], end[order]
+    bucket = (K.mix(ids.view(np.uint64) + forms.view(np.uint64)) % U(n_buckets)).astype(np.int64)
+    order = np.lexsort((start, forms, ids, bucket))
+    ids, forms, start, end = ids[order], forms[order], start[order], end[order]
     cuts = K.split_points(bucket[order], n_buckets)
-    return [(_REPEATS, k, ids[x:y].tobytes(), start[x:y].astype("<i4").tobytes(), end[x:y].astype("<i4").tobytes(), b"") for k, x, y in ((k, cuts[k], cuts[k + 1]) for k in np.flatnonzero(np.diff(cuts)).tolist())]
+    return [(_REPEATS, k, ids[x:y].tobytes() + forms[x:y].tobytes(), start[x:y].astype("<i4").tobytes(), end[x:y].astype("<i4").tobytes(), b"") for k, x, y in ((k, cuts[k], cuts[k + 1]) for k in np.flatnonzero(np.diff(cuts)).tolist())]
 
 
 # ------------------------------------------------------------ 3. bucket sort
@@ -297,35 +324,49 @@ def sort_bucket(text: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> tuple
     return s, at[first] - base[s], at[last] - base[s] + LENGTH
 
 
-def spans(docs: DataFrame) -> DataFrame:
-    """doc_id, starts and ends (binary, int32): the maximal runs of removed bytes of every document that has any."""
-    n_buckets, n = _buckets(docs), K.partitions_for(docs.sparkSession)
-    shared = K.written(shared_places(docs), "suffix-places")
-    marked = _docs(docs).join(shared, "doc_id")
+def _ids_and_forms(held: list) -> np.ndarray:
+    return np.concatenate([np.frombuffer(x[0], np.int64).reshape(2, -1) for x in held], axis=1)
+
+
+def spans(source: Source) -> DataFrame:
+    """doc_id, form, starts and ends (binary, int32): the maximal runs of removed bytes of every row that has any; alike for rows alike."""
+    n_buckets, n = source.buckets, source.partitions
+    shared = K.written(shared_places(source).dropDuplicates(["doc_id", "form"]) if source.forms else shared_places(source), "suffix-places")
+    # rows that are alike in doc_id and text find the same runs, each for itself
+    marked = source.rows().join(shared, ["doc_id", "form"])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1)
+        met: dict[int, int] = {}  # stretches that came again, and the smallest id that this task has sent with them
         for batch in batches:
             for c in K.chunks(batch.column(1)):
                 part = batch.slice(c.first, c.n)
                 ids = part.column(0).to_numpy().astype(np.int64)
-                first, count, doc, fingerprint = stretches(c, [np.frombuffer(x, "<i4") for x in part.column(2).to_pylist()])
+                first, count, doc, fingerprint = stretches(c, [np.frombuffer(x, "<i4") for x in part.column(3).to_pylist()])
                 length, owner, start = count + LENGTH - 1, ids[doc], first - c.off[doc]
+                form = part.column(2).to_numpy().astype(np.int64)[doc]
                 # alike within the chunk: only the smallest id's go on, the others are repeats
                 same = K.span_hash(K.prefix_hash(c.data), first, first + length)
                 order = np.lexsort((owner, same))
                 heads = K.runs(same[order])
+                number = np.diff(np.append(heads, len(order)))
+                head_key, head_id = same[order[heads]].tolist(), owner[order[heads]]
+                if met:
+                    head_id = np.array([min(i, met.get(k, i)) for k, i in zip(head_key, head_id.tolist(), strict=True)], np.int64)
+                if len(met) > MET:
+                    met.clear()
+                met.update((head_key[i], int(head_id[i])) for i in np.flatnonzero(number >= HOT).tolist())
                 least = np.empty(len(order), np.int64)
-                least[order] = np.repeat(owner[order[heads]], np.diff(np.append(heads, len(order)))) if len(heads) else 0
+                least[order] = np.repeat(head_id, number) if len(heads) else 0
                 again = owner > least
-                rows = _repeat_rows(owner[again], start[again], start[again] + length[again], n)
-                first, length, owner, start, fingerprint = (x[~again] for x in (first, length, owner, start, fingerprint))
+                rows = _repeat_rows(owner[again], form[again], start[again], start[again] + length[again], n)
+                first, length, owner, start, fingerprint, form = (x[~again] for x in (first, length, owner, start, fingerprint, form))
                 bucket = (K.mix(fingerprint) % U(n_buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
                 cuts = K.split_points(bucket[order], n_buckets)
                 for k in np.flatnonzero(np.diff(cuts)).tolist():
                     o = order[cuts[k] : cuts[k + 1]]
-                    rows.append((_STRETCH, k, owner[o].tobytes(), start[o].astype("<i4").tobytes(), length[o].astype("<i4").tobytes(), squeeze.compress(c.data[_ragged(first[o], length[o])].tobytes())))
+                    rows.append((_STRETCH, k, owner[o].tobytes() + form[o].tobytes(), start[o].astype("<i4").tobytes(), length[o].astype("<i4").tobytes(), squeeze.compress(c.data[_ragged(first[o], length[o])].tobytes())))
                 yield _bucket_rows(rows)
         K.trim()
 
@@ -333,11 +374,11 @@ def spans(docs: DataFrame) -> DataFrame:
         loosen = zstandard.ZstdDecompressor()
 
         def flush(held: list) -> tuple[np.ndarray, ...]:
-            ids = np.frombuffer(b"".join(x[0] for x in held), np.int64)
+            ids, forms = _ids_and_forms(held)
             start = np.frombuffer(b"".join(x[1] for x in held), "<i4").astype(np.int64)
             length = np.frombuffer(b"".join(x[2] for x in held), "<i4").astype(np.int64)
             s, a, b = sort_bucket(np.frombuffer(b"".join(loosen.decompress(x[3]) for x in held), np.uint8), ids, length)
-            return ids[s], start[s] + a, start[s] + b
+            return ids[s], forms[s], start[s] + a, start[s] + b
 
         def dealt(found: list) -> pa.RecordBatch:
             return _bucket_rows(_repeat_rows(*(np.concatenate(x) for x in zip(*found, strict=True)), n))
@@ -367,20 +408,20 @@ def spans(docs: DataFrame) -> DataFrame:
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(held: list) -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(x[0] for x in held), np.int64)
+            ids, forms = _ids_and_forms(held)
             start = np.frombuffer(b"".join(x[1] for x in held), "<i4").astype(np.int64)
             end = np.frombuffer(b"".join(x[2] for x in held), "<i4").astype(np.int64)
-            order = np.lexsort((start, ids))
-            ids, start, end = ids[order], start[order], end[order]
-            names, at = np.unique(ids, return_index=True)
+            order = np.lexsort((start, forms, ids))
+            ids, forms, start, end = ids[order], forms[order], start[order], end[order]
+            at = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (forms[1:] != forms[:-1])])) if len(ids) else np.zeros(0, np.int64)
             cuts = np.append(at, len(ids))
             out_s, out_e = [], []
-            for i in range(len(names)):
+            for i in range(len(at)):
                 s, e = start[cuts[i] : cuts[i + 1]], np.maximum.accumulate(end[cuts[i] : cuts[i + 1]])
                 new = np.concatenate([[True], s[1:] > e[:-1]])
                 out_s.append(s[new].astype("<i4").tobytes())
                 out_e.append(e[np.append(np.flatnonzero(new)[1:] - 1, len(e) - 1)].astype("<i4").tobytes())
-            return pa.RecordBatch.from_arrays([pa.array(names), pa.array(out_s, pa.binary()), pa.array(out_e, pa.binary())], ["doc_id", "starts", "ends"])
+            return pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(forms[at]), pa.array(out_s, pa.binary()), pa.array(out_e, pa.binary())], ["doc_id", "form", "starts", "ends"])
 
         at, held = None, []
         for batch in batches:
@@ -393,9 +434,9 @@ def spans(docs: DataFrame) -> DataFrame:
         if held:
             yield flush(held)
 
-    dealt = marked.select("doc_id", "text", "places").mapInArrow(deal, _BUCKET)
+    dealt = marked.select("doc_id", "text", "form", "places").mapInArrow(deal, _BUCKET)
     repeats = K.written(dealt.repartition(n, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(sort, _BUCKET), "suffix-repeats")
-    return repeats.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(merge, "doc_id long, starts binary, ends binary")
+    return repeats.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(merge, "doc_id long, form long, starts binary, ends binary")
 
 
 def _cut(text: bytes, starts: bytes, ends: bytes) -> bytes:
@@ -409,7 +450,8 @@ def _cut(text: bytes, starts: bytes, ends: bytes) -> bytes:
 
 def digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
-    found = K.written(spans(docs), "suffix-spans")
+    source = Source(docs)
+    found = K.written(spans(source), "suffix-spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -421,19 +463,22 @@ def digests(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]) if rows else batch.slice(0, 0).select([0])
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    some = _docs(docs).join(found, "doc_id").select("doc_id", "text", "starts", "ends").mapInArrow(cut, schema)
+    some = source.rows().join(found, ["doc_id", "form"]).select("doc_id", "text", "starts", "ends").mapInArrow(cut, schema)
     text = F.coalesce("text", F.lit(""))
-    none = _docs(docs).select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(text, 256).alias("kept_sha256"))
-    return some.unionByName(none.join(found.select("doc_id"), "doc_id", "left_anti"))
+    none = source.rows().select("doc_id", "form", F.octet_length(text).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(text, 256).alias("kept_sha256"))
+    return some.unionByName(none.join(found.select("doc_id", "form"), ["doc_id", "form"], "left_anti").drop("form"))
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """All rows and columns of documents, texts without their repeated bytes; a character that is cut into goes whole."""
-    found = K.written(spans(K.bounded(docs)), "suffix-spans")
+    source = Source(docs)
+    found = K.written(spans(source), "suffix-spans")
     names = docs.columns
-    key, starts, ends = (K.fresh(x, docs) for x in ("key", "starts", "ends"))
-    found = found.select(F.col("doc_id").alias(key), F.col("starts").alias(starts), F.col("ends").alias(ends))
-    joined = docs.join(found, F.col("doc_id").cast("long") == F.col(key), "left").select(*names, starts, ends)
+    key, form, starts, ends = (K.fresh(x, docs) for x in ("key", "form", "starts", "ends"))
+    found = found.select(F.col("doc_id").alias(key), F.col("form").alias(form), F.col("starts").alias(starts), F.col("ends").alias(ends))
+    same = F.col("doc_id").cast("long") == F.col(key)
+    # a doc_id that does not come again has form 0
+    joined = docs.join(found, same & ((F.col(form) == 0) | (F.col(form) == F.xxhash64("text"))) if source.forms else same, "left").select(*names, starts, ends)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = names.index("text")
