@@ -11,14 +11,16 @@ def test_buckets():
     b = TokenBucket(100, 0)
     assert b.take(100, 0) and not b.take(1, 0) and b.take(50, S // 2) and not b.take(60, S // 2)
     b.charge(10_000, S)
-    assert b.tokens == -100 and not b.open(S) and not b.open(2 * S) and b.open(2 * S + 1)
+    assert b.tokens == -100 and not b.open(S) and not b.open(2 * S - 1) and b.open(2 * S) and not TokenBucket(0, 0).open(S)
 
 
 def test_quotas_follow_rates():
     q = Quotas()
     assert q.bucket("t", "ingest", None, 0) is None
     q.bucket("t", "ingest", 10, 0).take(4, 0)
-    assert q.remaining("t", 0) == {"ingest": 6} and q.bucket("t", "ingest", 20, 0).tokens == 20 and q.remaining("u", 0) == {}
+    assert q.remaining("t", 0) == {"ingest": 6} and q.bucket("t", "ingest", 20, 0).tokens == 6 and q.remaining("u", 0) == {}
+    q.bucket("t", "query", 10, 0).charge(15, 0)
+    assert q.bucket("t", "query", 100, 0).tokens == -5 and q.remaining("t", S)["query"] == 95
 
 
 def test_tenants_and_policies():

@@ -35,9 +35,15 @@ class TokenBucket:
         self.tokens = max(-self.capacity, self.tokens - amount)
 
     def open(self, now_ns: int) -> bool:
-        """Whether a scan may begin."""
+        """Whether a scan may begin: not while there is debt, and never at a rate of 0."""
         self._fill(now_ns)
-        return self.tokens > 0
+        return self.rate > 0 and self.tokens >= 0
+
+    def change(self, rate: float, now_ns: int) -> None:
+        """A new rate from now on; what is left stays, up to the new capacity, and so does a debt."""
+        self._fill(now_ns)
+        self.rate = self.capacity = rate
+        self.tokens = min(self.tokens, self.capacity)
 
 
 class Quotas:
@@ -49,9 +55,9 @@ class Quotas:
     def bucket(self, tenant: str, kind: str, rate: float | None, now_ns: int) -> TokenBucket | None:
         if rate is None:
             return None
-        found = self.buckets.get((tenant, kind))
-        if found is None or found.rate != rate:
-            found = self.buckets[tenant, kind] = TokenBucket(rate, now_ns)
+        found = self.buckets.setdefault((tenant, kind), TokenBucket(rate, now_ns))
+        if found.rate != rate:
+            found.change(rate, now_ns)
         return found
 
     def remaining(self, tenant: str, now_ns: int) -> dict[str, float]:
