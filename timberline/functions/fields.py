@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -33,34 +33,20 @@ def clean_name(name: str) -> str:
     return "_" if not name else f"_{name}" if name[0].isdigit() else name
 
 
-class Names:
-    """Hands out names: a taken one gets the suffix _extracted, then _extracted_2 and so on."""
+def free_name(name: str, taken: Collection[str]) -> str:
+    """The name itself; where that is taken with _extracted after it, and then with a number higher than any in use there."""
+    other = f"{name}_extracted"
+    for candidate in (name, other):
+        if candidate not in taken:
+            return candidate
+    tails = (x[len(other) + 1 :] for x in taken if x.startswith(f"{other}_"))
+    return f"{other}_{max([1, *(int(t) for t in tails if t.isascii() and t.isdigit())]) + 1}"
 
-    def __init__(self, taken: dict[str, str]):
-        self.fields = taken
-        self.next: dict[str, int] = {}
-        for name in taken:
-            self.note(name)
 
-    def note(self, name: str) -> None:
-        base, mark, number = name.rpartition("_extracted_")
-        if mark and number.isascii() and number.isdigit():
-            self.next[f"{base}_extracted"] = max(self.next.get(f"{base}_extracted", 2), int(number) + 1)
-
-    def free(self, name: str) -> str:
-        if name not in self.fields:
-            self.note(name)
-            return name
-        base = candidate = f"{name}_extracted"
-        while candidate in self.fields:
-            number = self.next.get(base, 2)
-            candidate, self.next[base] = f"{base}_{number}", number + 1
-        return candidate
-
-    def add(self, name: str, value: str) -> str:
-        name = self.free(name)
-        self.fields[name] = value
-        return name
+def _put(fields: dict[str, str], name: str, value: str) -> str:
+    name = free_name(name, fields)
+    fields[name] = value
+    return name
 
 
 class _Number(str):
@@ -96,10 +82,10 @@ def json_fields(line: str) -> dict[str, str]:
             raise ParseProblem(line)
     except (ValueError, RecursionError) as e:
         raise ParseProblem(line) from e
-    names = Names({})
+    fields: dict[str, str] = {}
     for path, text in _leaves("", value):
-        names.add(path, text)
-    return names.fields
+        _put(fields, path, text)
+    return fields
 
 
 _PAIR = re.compile(r'[ \t\n\x0c\r]*(?:([^ \t\n\x0c\r=]+)=(?:"((?:[^"\\]|\\.)*)"(?=[ \t\n\x0c\r]|\Z)|((?!")[^ \t\n\x0c\r]*))|\Z)', re.S)
@@ -125,7 +111,7 @@ def _unescape(m: re.Match) -> str:
 
 def logfmt_fields(line: str) -> dict[str, str]:
     """Names and values of key=value pairs; of a key that comes again the last value stays."""
-    names, stored, at = Names({}), {}, 0
+    fields, stored, at = {}, {}, 0
     while at < len(line):
         m = _PAIR.match(line, at)
         if m is None:
@@ -135,10 +121,10 @@ def logfmt_fields(line: str) -> dict[str, str]:
             break
         value = m[3] if m[2] is None else _ESCAPE.sub(_unescape, m[2]) if "\\" in m[2] else m[2]
         if m[1] in stored:
-            names.fields[stored[m[1]]] = value
+            fields[stored[m[1]]] = value
         else:
-            stored[m[1]] = names.add(clean_name(m[1]), value)
-    return names.fields
+            stored[m[1]] = _put(fields, clean_name(m[1]), value)
+    return fields
 
 
 def _stage(parse, error: str):
@@ -149,9 +135,8 @@ def _stage(parse, error: str):
         except ParseProblem:
             fields[ERROR] = error
             return fields
-        names = Names(fields)
         for name in sorted(found, key=lambda k: k.encode("utf-8", "surrogatepass")):
-            names.add(name, found[name])
+            _put(fields, name, found[name])
         return fields
 
     return run

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterable
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -82,35 +85,37 @@ def tokens(line: Column) -> Column:
     return F.transform(words, lambda t: F.when(t.rlike("[0-9]"), F.lit(WILDCARD)).otherwise(t))
 
 
-class PatternMiner:
-    """Puts lines, in their order, into the first cluster that is similar enough; places that differ become wildcards."""
-
-    def __init__(self, step_ns: int):
-        self.step_ns, self.clusters = step_ns, []
-        self.by_size: dict[int, list[int]] = {}
-
-    def observe(self, words: list[str], ts_ns: int) -> None:
-        if not words:
-            return
-        bucket = ts_ns - ts_ns % self.step_ns
-        for i in self.by_size.get(len(words), ()):
-            template, counts = self.clusters[i]
-            fixed = [a == b for a, b in zip(template, words, strict=True) if a != WILDCARD]
-            if not fixed and template == words or fixed and sum(fixed) / len(fixed) >= PATTERN_SIMILARITY:
-                self.clusters[i] = [a if a == b else WILDCARD for a, b in zip(template, words, strict=True)], counts
-                counts[bucket] = counts.get(bucket, 0) + 1
-                return
-        if len(self.clusters) < PATTERN_CLUSTERS:
-            self.by_size.setdefault(len(words), []).append(len(self.clusters))
-            self.clusters.append((list(words), {bucket: 1}))
-
-    def rows(self) -> list[tuple[str, int, int]]:
-        merged: dict[str, dict[int, int]] = {}
-        for template, counts in self.clusters:
-            into = merged.setdefault(" ".join(template), {})
-            for bucket, n in counts.items():
-                into[bucket] = into.get(bucket, 0) + n
-        return [(t, b, n) for t, c in sorted(merged.items(), key=lambda x: (-sum(x[1].values()), x[0])) for b, n in sorted(c.items())]
+def clustered(lines: Iterable[tuple[int, list[str]]], step_ns: int) -> list[tuple[str, int, int]]:
+    """(pattern, bucket, lines) of (time, words) in their order, the most frequent pattern first.
+
+    Templates of one length are the rows of a table of word numbers, 0 for a
+    wildcard, and a line is compared with all rows at once; the first row of which
+    enough fixed words agree takes the line in.
+    """
+    number = {WILDCARD: 0}
+    tables: dict[int, np.ndarray] = {}
+    made, joined = 0, []
+    for ts_ns, words in lines:
+        size = len(words)
+        line = np.array([number.setdefault(w, len(number)) for w in words], np.int64)
+        table = tables.get(size, np.zeros((0, size), np.int64))
+        fixed, agree = table != 0, table == line
+        share = (fixed & agree).sum(axis=1) / np.maximum(fixed.sum(axis=1), 1)
+        close = np.flatnonzero(np.where(fixed.any(axis=1), share >= PATTERN_SIMILARITY, agree.all(axis=1)))
+        if not size or not len(close) and made >= PATTERN_CLUSTERS:
+            continue
+        if len(close):
+            row = int(close[0])
+            table[row, ~agree[row]] = 0
+        else:
+            row, made = len(table), made + 1
+            tables[size] = np.vstack([table, line])
+        joined.append((size, row, ts_ns - ts_ns % step_ns))
+    word = list(number)
+    text = {(size, row): " ".join(word[k] for k in template) for size, table in tables.items() for row, template in enumerate(table.tolist())}
+    cells = Counter((text[size, row], bucket) for size, row, bucket in joined)
+    whole = Counter(text[size, row] for size, row, _ in joined)
+    return [(t, b, n) for (t, b), n in sorted(cells.items(), key=lambda x: (-whole[x[0][0]], *x[0]))]
 
 
 def patterns(logs: DataFrame, query: ast.LogQuery, start_ns: int, end_ns: int, step_ns: int | None = None, sample: int = PATTERN_SAMPLE) -> DataFrame:
@@ -125,11 +130,7 @@ def patterns(logs: DataFrame, query: ast.LogQuery, start_ns: int, end_ns: int, s
     def mine(batches):
         import pyarrow as pa
 
-        miner = PatternMiner(step)
-        for b in batches:
-            for ts, words in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                miner.observe(words, ts)
-        rows = miner.rows()
+        rows = clustered(((ts, words) for b in batches for ts, words in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)), step)
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64())], ["pattern", "bucket_ns", "n"])
 
     ordered = lines.coalesce(1).sortWithinPartitions("labels_key", F.desc("ts_ns"), "line").select("ts_ns", "words")
