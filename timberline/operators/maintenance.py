@@ -46,6 +46,5 @@ def rewrite(spark: SparkSession, path: str, to: str, policies: Policies | None =
     """
     logs = read(spark, path, LOGS)
     rows = kept(logs, policies or Policies(), now_ns, list(deletes)).drop("day")
-    most = rows.groupBy(F.expr("ts_ns div 86400000000000")).count().agg(F.max("count")).first()[0] or 0
-    write_logs(rows, to, mode="overwrite", files_per_day=max(1, -(-most // target_rows)))
+    write_logs(rows, to, mode="overwrite", tasks=max(1, -(-rows.count() // target_rows)))
     return [d.request_id for d in deletes]

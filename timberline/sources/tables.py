@@ -21,22 +21,30 @@ def day_of(ts_ns: Column) -> Column:
     return F.date_add(F.lit("1970-01-01").cast("date"), ((ts_ns - F.pmod(ts_ns, F.lit(DAY_NS))) / F.lit(DAY_NS)).cast("int"))
 
 
-def write_logs(logs: DataFrame, path: str, mode: str = "append", files_per_day: int = 1) -> None:
+def distinct_logs(logs: DataFrame) -> DataFrame:
+    """Entries without exact repeats; labels_key and metadata_key beside them."""
+    df = logs.withColumn("labels_key", L.labels_key(F.col("labels"))).withColumn("metadata_key", L.labels_key(F.col("metadata")))
+    return df.dropDuplicates(["tenant", "ts_ns", "labels_key", "line", "metadata_key"])
+
+
+def write_logs(logs: DataFrame, path: str, mode: str = "append", tasks: int | None = None) -> None:
     """Parquet by UTC day, sorted by tenant and time, so that row groups are pruned by both; exact repeats are written once.
 
-    files_per_day spreads a day over that many files, by stream; the sort stays within each.
+    Tasks (as many as the session shuffles to, unless given) take ranges of day,
+    tenant and time of equal size, so that a large day, tenant or stream is several
+    tasks' and small days are one's.
     """
-    df = logs.withColumn("labels_key", L.labels_key(F.col("labels"))).withColumn("metadata_key", L.labels_key(F.col("metadata")))
-    df = df.dropDuplicates(["tenant", "ts_ns", "labels_key", "line", "metadata_key"]).withColumn("day", day_of(F.col("ts_ns")))
-    spread = F.pmod(F.xxhash64("tenant", "labels_key"), F.lit(files_per_day))
-    df = df.repartition("day", spread).sortWithinPartitions("day", "tenant", "ts_ns", "labels_key", "line")
+    df = distinct_logs(logs).withColumn("day", day_of(F.col("ts_ns")))
+    ranges = ("day", "tenant", "ts_ns", "labels_key", "line")
+    df = (df.repartitionByRange(tasks, *ranges) if tasks else df.repartitionByRange(*ranges)).sortWithinPartitions(*ranges)
     df.drop("labels_key", "metadata_key").write.mode(mode).partitionBy("day").option("compression", "zstd").parquet(path)
 
 
 def write_spans(spans: DataFrame, path: str, mode: str = "append") -> None:
     """Parquet by UTC day of the start, with a Bloom filter on trace ids."""
     df = spans.dropDuplicates(["tenant", "trace_id", "span_id"]).withColumn("day", day_of(F.col("start_ns")))
-    df = df.repartition("day").sortWithinPartitions("day", "tenant", "trace_id", "start_ns", "span_id")
+    ranges = ("day", "tenant", "trace_id", "start_ns", "span_id")
+    df = df.repartitionByRange(*ranges).sortWithinPartitions(*ranges)
     df.write.mode(mode).partitionBy("day").option("compression", "zstd").option("parquet.bloom.filter.enabled#trace_id", "true").parquet(path)
 
 
