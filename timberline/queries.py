@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 
 from .engine import Engine
 from .functions import labels as L
-from .functions.values import timestamp
+from .functions.values import timestamp, trace_duration
 from .operators import discovery, maintenance, masks, ranges, selection, traces
 from .operators.policies import Deletes, Policies, usage
 from .plans import ast
-from .plans.parser import parse, parse_selector
-from .sources import tables
+from .plans.parser import checked, parse, parse_selector
+from .sources import push, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -293,7 +293,7 @@ def patterns(spark, sf_dir):
     return discovery.patterns(tables.chat_logs(spark, sf_dir), parse_selector('{app="chat"}'), 0, 3600 * 10**9, 10**9)
 
 
-@_add("pattern_tokens", "SELECT conv_id, turn, list_aggregate(list_transform(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> ''), lambda w: CASE WHEN regexp_matches(w, '[0-9]') THEN '<_>' ELSE w END), 'string_agg', ' ') AS template FROM conversations WHERE NOT regexp_matches(text, '[^\\x00-\\x7f]')")
+@_add("pattern_tokens", "SELECT conv_id, turn, list_aggregate(list_transform(list_filter(regexp_split_to_array(text, '[\\t-\\r \\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+'), lambda w: w <> ''), lambda w: CASE WHEN regexp_matches(w, '[0-9]') THEN '<_>' ELSE w END), 'string_agg', ' ') AS template FROM conversations")
 def pattern_tokens(spark, sf_dir):
     c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     return c.select("conv_id", "turn", F.array_join(discovery.tokens(F.col("text")), " ").alias("template"))
@@ -332,10 +332,13 @@ def trace_tag_values(spark, sf_dir):
     return traces.tag_values(_engine(spark, sf_dir).scan_spans(TENANT), "k")
 
 
-@_add("trace_batches", f"WITH {_SPANS} SELECT service, count(*) AS spans FROM sp WHERE {_W.replace('ts_ns', 'start_ns')} GROUP BY service")
+@_add("trace_batches", f"WITH {_SPANS} SELECT service, span_id, parent_span_id, trace_id, name, start_ns, end_ns, CAST(status_code AS BIGINT) AS status_code, k, uid FROM sp WHERE {_W.replace('ts_ns', 'start_ns')}")
 def trace_batches(spark, sf_dir):
     s = _engine(spark, sf_dir).scan_spans(TENANT).where(F.col("start_ns").between(START, END))
-    return traces.batches(s).select(F.col("resource_key")[0]["value"].alias("service"), F.size("spans").cast("long").alias("spans"))
+    x = traces.batches(s).select(F.col("resource_key")[0]["value"].alias("service"), F.explode("spans").alias("x"))
+    text = lambda path: F.get_json_object("x", f"$.{path}")
+    numbers = [text(c).cast("long").alias(c) for c in ("start_ns", "end_ns", "status_code")]
+    return x.select("service", *(text(c).alias(c) for c in ("span_id", "parent_span_id", "trace_id", "name")), *numbers, text("attributes.k").alias("k"), text("attributes['user.id']").alias("uid"))
 
 
 # ------------------------------------------------- masks, policies, maintenance
@@ -348,7 +351,7 @@ _DELETES = [
 _VISIBLE = f"NOT (event_type = 'click' AND ts_ns >= {START} AND ts_ns < {START + 100 * HOUR}) AND NOT (contains(line, '7') AND ts_ns >= {START + 50 * HOUR} AND ts_ns < {END})"
 
 
-@_add("delete_mask", f"WITH {_LOGS} SELECT ts_ns, line FROM s WHERE {_W} AND {_VISIBLE} ORDER BY ts_ns DESC LIMIT 300")
+@_add("delete_mask", f"WITH {_LOGS} SELECT ts_ns, line FROM s WHERE {_W} AND {_VISIBLE}")
 def delete_mask(spark, sf_dir):
     e = _engine(spark, sf_dir, deletes=Deletes(_DELETES))
     return selection.entries(e.scan(TENANT, START, END), parse_selector('{app="events"}')).select("ts_ns", "line")
@@ -370,10 +373,10 @@ def retention_rewrite(spark, sf_dir):
     return kept.groupBy("tenant").agg(F.count("*").alias("n"))
 
 
-@_add("expired_days", f"""WITH {_LOGS}, d AS (SELECT CAST(to_timestamp(ts_ns // 1000000000) AT TIME ZONE 'UTC' AS DATE) AS day, count(*) AS rows, count(*) FILTER (tenant <> 't1' OR ts_ns >= {NOW - 168 * HOUR}) AS "left" FROM logs WHERE tenant <> 't2' GROUP BY 1)
+@_add("expired_days", f"""WITH {_LOGS}, d AS (SELECT CAST(to_timestamp(ts_ns // 1000000000) AT TIME ZONE 'UTC' AS DATE) AS day, count(*) AS rows, count(*) FILTER (tenant <> 't1' OR ts_ns >= {NOW - 168 * HOUR}) AS "left" FROM logs GROUP BY 1)
 SELECT CAST(day AS VARCHAR) AS day, rows, "left", CASE WHEN "left" = 0 THEN 'drop' WHEN rows - "left" > 0 AND rows - "left" >= rows * 0.5 THEN 'rewrite' ELSE 'keep' END AS action FROM d""")
 def expired_days(spark, sf_dir):
-    logs = tables.event_logs(spark, sf_dir).where("tenant <> 't2'").withColumn("day", tables.day_of(F.col("ts_ns")))
+    logs = tables.event_logs(spark, sf_dir).withColumn("day", tables.day_of(F.col("ts_ns")))
     return maintenance.expired_days(logs, _policies(), NOW).withColumn("day", F.col("day").cast("string"))
 
 
@@ -382,10 +385,10 @@ def tenant_usage(spark, sf_dir):
     return usage(tables.event_logs(spark, sf_dir))
 
 
-@_add("dedup", "SELECT lang, count(*) AS n FROM (SELECT DISTINCT lang, source, text FROM documents) GROUP BY lang")
+@_add("dedup", f"WITH {_LOGS} SELECT tenant, event_type, count(*) AS n FROM (SELECT DISTINCT tenant, ts_ns, event_type, line, user_id, event_id FROM logs) GROUP BY ALL")
 def dedup(spark, sf_dir):
-    d = tables.doc_logs(spark, sf_dir).withColumn("ts_ns", F.lit(0).cast("long")).withColumn("labels_key", L.labels_key(F.col("labels")))
-    return d.dropDuplicates(["tenant", "ts_ns", "labels_key", "line"]).groupBy(F.element_at("labels", "lang").alias("lang")).agg(F.count("*").alias("n"))
+    e = tables.event_logs(spark, sf_dir)
+    return tables.distinct_logs(e.unionByName(e)).groupBy("tenant", L.get(F.col("labels"), "event_type").alias("event_type")).agg(F.count("*").alias("n"))
 
 
 @_add("acceptance_window", f"WITH {_LOGS} SELECT ts_ns >= {END - 168 * HOUR} AND ts_ns <= {END + HOUR} AS accepted, count(*) AS n FROM logs GROUP BY 1")
@@ -404,6 +407,134 @@ def stream_limit(spark, sf_dir):
     return within_stream_limit(logs, known, 4).groupBy("tenant", L.get(F.col("labels"), "event_type").alias("event_type")).agg(F.count("*").alias("n"))
 
 
+# ----------------------------------------------------- parts, pushes and text
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share; a local one only where the master is local and none is set."""
+    import tempfile
+    import uuid
+
+    sc = spark.sparkContext
+    root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not root:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set")
+        root = tempfile.mkdtemp(prefix="timberline-")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@_add("logs_from_parts", f"WITH {_LOGS} SELECT event_type, ts_ns, line FROM s WHERE {_W}")
+def logs_from_parts(spark, sf_dir):
+    path = _folder(spark, "logs")
+    tables.write_logs(tables.event_logs(spark, sf_dir), path)
+    logs = Engine(tables.read(spark, path, tables.LOGS)).scan(TENANT, START, END)
+    return logs.select(L.get(F.col("labels"), "event_type").alias("event_type"), "ts_ns", "line")
+
+
+@_add("parts_after_retention", f"WITH {_LOGS} SELECT tenant, count(*) AS n, CAST(sum(strlen(line)) AS BIGINT) AS bytes FROM logs WHERE (tenant <> 't1' OR (ts_ns >= {NOW - 168 * HOUR} AND {_VISIBLE})) AND (tenant <> 't0' OR ts_ns < {START} OR ts_ns >= {END}) GROUP BY tenant")
+def parts_after_retention(spark, sf_dir):
+    old, new = _folder(spark, "logs"), _folder(spark, "logs")
+    tables.write_logs(tables.event_logs(spark, sf_dir), old)
+    maintenance.rewrite(spark, old, new, _policies(), NOW, _DELETES)
+    return tables.read(spark, new, tables.LOGS).groupBy("tenant").agg(F.count("*").alias("n"), F.sum(F.octet_length("line")).alias("bytes"))
+
+
+@_add("spans_from_parts", f"WITH {_SPANS} SELECT {_SUMMARY} FROM sp WHERE end_ns >= {START} AND start_ns <= {END} GROUP BY trace_id HAVING bool_or(status_code = 2) ORDER BY trace_id LIMIT 100")
+def spans_from_parts(spark, sf_dir):
+    path = _folder(spark, "spans")
+    tables.write_spans(tables.event_spans(spark, sf_dir), path)
+    spans = tables.read(spark, path, tables.SPANS)
+    return Engine(tables.event_logs(spark, sf_dir), spans).search(TENANT, "status=error", START, END, limit=100)
+
+
+@_add("json_pushes", f"WITH {_LOGS} SELECT tenant, event_type, ts_ns, line, CAST(user_id AS VARCHAR) AS user_id FROM logs")
+def json_pushes(spark, sf_dir):
+    """Events packed into push bodies, one for a tenant and hour, and read back."""
+    e = tables.event_logs(spark, sf_dir)
+    value = F.concat(F.lit("["), F.to_json(F.array(F.col("ts_ns").cast("string"), F.col("line"))).substr(F.lit(2), F.length(F.to_json(F.array(F.col("ts_ns").cast("string"), F.col("line")))) - 2), F.lit(","), F.to_json("metadata"), F.lit("]"))
+    streams = e.groupBy("tenant", F.expr(f"ts_ns div {HOUR}").alias("hour"), F.to_json("labels").alias("stream")).agg(F.array_join(F.collect_list(value), ",").alias("values"))
+    one = F.concat(F.lit('{"stream":'), F.col("stream"), F.lit(',"values":['), F.col("values"), F.lit("]}"))
+    bodies = streams.groupBy("tenant", "hour").agg(F.concat(F.lit('{"streams":['), F.array_join(F.collect_list(one), ","), F.lit("]}")).alias("body"))
+    return push.json_push(bodies).select("tenant", L.get(F.col("labels"), "event_type").alias("event_type"), "ts_ns", "line", F.element_at("metadata", "user_id").alias("user_id"))
+
+
+def _attribute(key: str, value: F.Column) -> F.Column:
+    return F.struct(F.lit(key).alias("key"), F.struct(value.cast("string").alias("stringValue")).alias("value"))
+
+
+@_add("otlp_log_exports", f"WITH {_LOGS} SELECT tenant, 'svc' || (user_id % 5) AS service, etype AS severity, ts_ns, line, CAST(user_id AS VARCHAR) AS uid FROM logs")
+def otlp_log_exports(spark, sf_dir):
+    """Events as OTLP log records, one export for a tenant and service, and read back."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("*", (F.unix_micros(F.col("ts").cast("timestamp")) * 1000).alias("ts_ns"))
+    record = F.struct(F.col("ts_ns").cast("string").alias("timeUnixNano"), F.col("event_type").alias("severityText"), F.struct(F.col("props").alias("stringValue")).alias("body"), F.array(_attribute("uid", F.col("user_id"))).alias("attributes"))
+    records = e.groupBy((F.col("user_id") % 3).alias("t"), (F.col("user_id") % 5).alias("svc")).agg(F.collect_list(record).alias("logRecords"))
+    resource = F.struct(F.array(_attribute("service.name", F.concat(F.lit("svc"), F.col("svc").cast("string"))), _attribute("host.name", F.lit("h"))).alias("attributes"))
+    body = F.to_json(F.struct(F.array(F.struct(resource.alias("resource"), F.array(F.struct(F.struct(F.lit("sc").alias("name")).alias("scope"), F.col("logRecords"))).alias("scopeLogs"))).alias("resourceLogs")))
+    logs = push.otlp_logs(records.select(F.concat(F.lit("t"), F.col("t").cast("string")).alias("tenant"), body.alias("body")))
+    meta = lambda k: F.element_at("metadata", k)
+    return logs.select("tenant", L.get(F.col("labels"), "service_name").alias("service"), meta("severity_text").alias("severity"), "ts_ns", "line", meta("uid").alias("uid"))
+
+
+@_add("otlp_trace_exports", f"WITH {_SPANS} SELECT tenant, trace_id, span_id, parent_span_id, name, start_ns, end_ns, CAST(status_code AS BIGINT) AS status_code, k, service FROM spans")
+def otlp_trace_exports(spark, sf_dir):
+    """Spans as OTLP exports, one for a tenant and service, and read back."""
+    s = tables.event_spans(spark, sf_dir)
+    span = F.struct(
+        F.col("trace_id").alias("traceId"), F.col("span_id").alias("spanId"), F.col("parent_span_id").alias("parentSpanId"), "name", F.col("start_ns").cast("string").alias("startTimeUnixNano"),
+        F.col("end_ns").cast("string").alias("endTimeUnixNano"), F.struct(F.col("status_code").alias("code")).alias("status"), F.array(_attribute("k", F.element_at("attributes", "k"))).alias("attributes"),
+    )
+    service = F.element_at("resource.attributes", "service.name")
+    packed = s.groupBy("tenant", service.alias("service")).agg(F.collect_list(span).alias("spans"))
+    resource = F.struct(F.array(_attribute("service.name", F.col("service"))).alias("attributes"))
+    body = F.to_json(F.struct(F.array(F.struct(resource.alias("resource"), F.array(F.struct("spans")).alias("scopeSpans"))).alias("resourceSpans")))
+    back = push.otlp_spans(packed.select("tenant", body.alias("body")))
+    return back.select("tenant", "trace_id", "span_id", "parent_span_id", "name", "start_ns", "end_ns", F.col("status_code").cast("long").alias("status_code"), F.element_at("attributes", "k").alias("k"), service.alias("service"))
+
+
+@_add("name_collisions", f"WITH {_LOGS} SELECT event_id, CAST(k AS VARCHAR) AS k, CAST(k + 1 AS VARCHAR) AS k_extracted, CAST(event_id + 1 AS VARCHAR) AS event_id_extracted, CAST(user_id AS VARCHAR) AS event_id_extracted_extracted, '2' AS _2x FROM s WHERE {_W}")
+def name_collisions(spark, sf_dir):
+    """Fields whose cleaned names meet each other's, and those of the metadata."""
+    logs = tables.event_logs(spark, sf_dir)
+    k, id_, user = F.get_json_object("line", "$.k"), F.element_at("metadata", "event_id"), F.element_at("metadata", "user_id")
+    line = F.concat(F.lit('{"k":'), k, F.lit(',"k_extracted":'), (k.cast("long") + 1).cast("string"), F.lit(',"event.id":'), (id_.cast("long") + 1).cast("string"), F.lit(',"event_id":'), user, F.lit(',"2x":2}'))
+    found = selection.entries(masks.scan(logs.withColumn("line", line), TENANT, START, END), parse_selector('{app="events"} | json'))
+    field = lambda name: F.element_at("metadata", name).alias(name)
+    return found.select(F.element_at("metadata", "event_id").cast("long").alias("event_id"), *(field(x) for x in ("k", "k_extracted", "event_id_extracted", "event_id_extracted_extracted", "_2x")))
+
+
+def _texts(rows: list[tuple[str, str]]) -> str:
+    return "SELECT * FROM (VALUES " + ", ".join("('" + a.replace("'", "''") + "', '" + b.replace("'", "''") + "')" for a, b in rows) + ") AS v(given, found)"
+
+
+_REFUSED = [('{app="a"} | x > "5"', "QueryProblem"), ('sum(rate({app="a"}[5m])) + rate({app="a"}[5m])', "QueryProblem"), ('sum_over_time({app="a"}[5m])', "QueryProblem"), ('rate({app="a"} | unwrap x [5m])', "QueryProblem"), ("{}[5m]", "QueryProblem"), ('topk(0, rate({app="a"}[5m]))', "QueryProblem")]
+_TIMES = [("1700000000", "1700000000000000000"), ("1700000000000", "1700000000000000000"), ("1700000000000000", "1700000000000000000"), ("1700000000000000001", "1700000000000000001"), ("2024-01-05T00:00:00Z", "1704412800000000000"), ("2024-01-05T01:30:00.5+01:30", "1704412800500000000"), ("1704412800.25", "1704412800250000000")]
+_SPANS_OF_TIME = [("1h30m", "5400000000000"), ("1.5s", "1500000000"), ("100ms", "100000000"), ("2d", "172800000000000"), ("1w", "604800000000000"), ("10", "10000000000"), ("0.5", "500000000")]
+_LABEL_TEXTS = [('{b="2",a="1"}', '{a="1", b="2"}'), ('{ a = "x\\"y" }', '{a="x\\"y"}'), ("{}", "{}"), ('{a="l\\n2"}', '{a="l\\n2"}')]
+_CHECKED = [('  {app="a"} |= "x"  ', '{app="a"} |= "x"'), (' rate({a="b"}[5m]) ', 'rate({a="b"}[5m])')]
+
+
+def _found(rows: list[tuple[str, str]], f) -> Query:
+    return lambda spark, sf_dir: spark.createDataFrame([(given, str(f(given))) for given, _ in rows], "given string, found string")
+
+
+def _refusal(text: str) -> str:
+    try:
+        parse(text)
+    except ValueError:
+        return "QueryProblem"
+    return "taken"
+
+
+REGISTRY |= {
+    "refused_queries": Registered(_found(_REFUSED, _refusal), _texts(_REFUSED)),
+    "time_literals": Registered(_found(_TIMES, timestamp), _texts(_TIMES)),
+    "trace_durations": Registered(_found(_SPANS_OF_TIME, trace_duration), _texts(_SPANS_OF_TIME)),
+    "label_texts": Registered(_found(_LABEL_TEXTS, lambda t: push.label_text(push.parse_labels(t))), _texts(_LABEL_TEXTS)),
+    "format_query": Registered(_found(_CHECKED, checked), _texts(_CHECKED)),
+}
+
+
 def queries() -> dict[str, Query]:
     return {k: r.run for k, r in REGISTRY.items()}
 
