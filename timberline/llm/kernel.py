@@ -39,10 +39,12 @@ _BYTE_CODE = np.random.default_rng(20240611).integers(1, 1 << 63, 256, dtype=np.
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share, from spark.checkpoint.dir; only where unset (tests) a temporary one."""
+    """The folder that the driver and all executors share, from spark.checkpoint.dir; a temporary one only where that is unset and the master local, as in tests."""
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not folder:
+        if not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is not set, and executors of a cluster share no local folder")
         import tempfile
 
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="timberline-"))
