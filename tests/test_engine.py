@@ -2,6 +2,7 @@ import json
 import os
 import re
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -143,11 +144,11 @@ def test_deletes_and_retention(spark):
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="the tables are not here")
 def test_delete_mask_returns_the_whole_window(spark):
-    from timberline.queries import END, HOUR, START, TENANT
+    from timberline.queries import END, FROM, HOUR, START, TENANT, TO
 
     rows = [(r.ts_ns, r.line, r.labels.get("event_type")) for r in tables.event_logs(spark, SF).where(F.col("tenant") == TENANT).collect() if START <= r.ts_ns <= END]
-    a = {x for x in rows if x[2] == "click" and x[0] < START + 100 * HOUR}
-    b = {x for x in rows if "7" in x[1] and START + 50 * HOUR <= x[0] < END}
+    a = {x for x in rows if x[2] == "click" and FROM <= x[0] < FROM + 100 * HOUR}
+    b = {x for x in rows if "7" in x[1] and FROM + 50 * HOUR <= x[0] < TO}
     got = queries.queries()["delete_mask"](spark, SF).collect()
     assert a - b and sorted((r.ts_ns, r.line) for r in got) == sorted(x[:2] for x in rows if x not in a | b)
 
@@ -242,3 +243,19 @@ def test_trace_search(spark):
 def test_first_of_pairs(spark):
     df = spark.sql("SELECT array(named_struct('key', 'a', 'value', '1'), named_struct('key', 'b', 'value', '2'), named_struct('key', 'a', 'value', '3')) AS p")
     assert df.select(L.first_of_pairs(F.col("p")).alias("m")).first().m == {"a": "1", "b": "2"}
+
+
+@pytest.mark.parametrize("range_s, step_s, offset_s", [(12, 6, 0), (7, 5, 0), (9, 6, 4), (5, 7, 1), (6, 6, 0), (1000, 7, 3), (131, 130, 0)])
+def test_windows_by_panes_against_brute_force(spark, range_s, step_s, offset_s):
+    rng = __import__("random").Random(range_s)
+    rows = [(rng.randrange(0, 300 * S) if i % 3 else rng.randrange(300) * S, rng.choice("ab"), rng.randrange(5)) for i in range(200)]
+    e = Engine(logs(spark, [(ts, {"app": a}, str(i), {"x": str(x)}) for i, (ts, a, x) in enumerate(rows)]))
+    start, end = 20 * S, 280 * S
+    for f, of in (("count", len), ("avg", lambda v: sum(v) / len(v)), ("min", min), ("max", max), ("quantile", lambda v: float(np.quantile(v, 0.3)))):
+        text = "count_over_time({}[%ds] offset %ds)" if f == "count" else f"{f}_over_time({'0.3, ' if f == 'quantile' else ''}{{}} | unwrap x [%ds] offset %ds)"
+        got, want = vector(e.metric_query("t", text % (range_s, offset_s), start, end, step_s * S)[0]), {}
+        for k, t in enumerate(range(start, end + 1, step_s * S)):
+            for app in "ab":
+                if v := [x for ts, a, x in rows if a == app and t - (offset_s + range_s) * S < ts <= t - offset_s * S]:
+                    want[((("app", app),), k)] = pytest.approx(of(v))
+        assert got == want

@@ -2,8 +2,9 @@
 
 An entry at t counts for every grid point whose window (point - offset - range,
 point - offset] holds it: a run of grid indexes that integer arithmetic gives, so
-no join on a condition is needed. Where the range is a multiple of the step,
-entries are first added up by step ("panes"), and only those sums are repeated.
+no join on a condition is needed. Where windows overlap, entries are first added
+up by the common divisor of range and step ("panes"), for quantiles counted by
+value, and only those sums are repeated.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from . import selection, vectors
 
 #: Evaluations of a query, and points of a subquery's grid.
 MAX_POINTS, MAX_INNER_POINTS = 10_000, 1_000_000
+#: Panes of a step beyond which adding up by pane no longer pays for its shuffle.
+MAX_PANES = 64
 
 
 class GridProblem(ValueError):
@@ -112,19 +115,20 @@ def samples(logs: DataFrame, m: ast.Range, promoted: frozenset[str]) -> DataFram
 
 def over_range(rows: DataFrame, m: ast.Range, grid: Grid) -> DataFrame:
     """series, k, value of a range function over (series, ts_ns, v)."""
-    first = _first("ts_ns", grid, m.offset_ns)
-    if m.function == "quantile_over_time":
-        spread = rows.withColumn("k", F.explode(_indexes(f"greatest(0L, {first})", f"least({grid.last}L, {_first('ts_ns', grid, m.offset_ns + m.range_ns)} - 1)")))
-        return spread.groupBy("series", "k").agg(F.percentile("v", F.lit(m.phi)).alias("value"))
-    parts = _aggregates(m.function)
-    if m.range_ns % grid.step == 0 and m.range_ns > grid.step:
-        panes = rows.withColumn("p", F.expr(first)).groupBy("series", "p").agg(*(c.alias(n) for n, c in parts.items()))
-        spread = panes.withColumn("k", F.explode(_indexes("greatest(0L, p)", f"least({grid.last}L, p + {m.range_ns // grid.step - 1}L)")))
-        merged = spread.groupBy("series", "k").agg(*(_MERGE[n](n).alias(n) for n in parts))
+    quantile, pane = m.function == "quantile_over_time", math.gcd(m.range_ns, grid.step)
+    parts = {"n": F.count("*")} if quantile else _aggregates(m.function)
+    paned = grid.last > 0 and m.range_ns > grid.step and pane * MAX_PANES >= grid.step
+    if paned:  # pane p ends p * pane after the grid's start
+        at = F.expr(_first("ts_ns", Grid(grid.start, pane, 0), m.offset_ns))
+        rows = rows.withColumn("p", at).groupBy("series", "p", *(["v"] if quantile else [])).agg(*(c.alias(n) for n, c in parts.items()))
+        parts = {n: _MERGE[n](n) for n in parts}
+        low, high = _ceil_div(f"p * {pane}L", grid.step), _floor_div(f"p * {pane}L + {m.range_ns - pane}L", grid.step)
     else:
-        spread = rows.withColumn("k", F.explode(_indexes(f"greatest(0L, {first})", f"least({grid.last}L, {_first('ts_ns', grid, m.offset_ns + m.range_ns)} - 1)")))
-        merged = spread.groupBy("series", "k").agg(*(c.alias(n) for n, c in parts.items()))
-    return merged.select("series", "k", _value(m.function, m.range_ns))
+        low, high = _first("ts_ns", grid, m.offset_ns), f"{_first('ts_ns', grid, m.offset_ns + m.range_ns)} - 1"
+    of = rows.withColumn("k", F.explode(_indexes(f"greatest(0L, {low})", f"least({grid.last}L, {high})"))).groupBy("series", "k")
+    if quantile:
+        return of.agg(F.percentile("v", F.lit(m.phi), F.col("n") if paned else F.lit(1)).alias("value"))
+    return of.agg(*(c.alias(n) for n, c in parts.items())).select("series", "k", _value(m.function, m.range_ns))
 
 
 def _indexes(low: str, high: str) -> Column:

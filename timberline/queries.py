@@ -16,12 +16,14 @@ from .operators.policies import Deletes, Policies, usage
 from .plans import ast
 from .plans.parser import checked, parse, parse_selector
 from .sources import push, tables
+from .sources.versions import VersionedLogs
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 TENANT = "t1"
 HOUR = 3600 * 10**9
-START, END, STEP = timestamp("2024-01-05T00:00:00Z"), timestamp("2024-01-15T00:00:00Z"), 6 * HOUR
+#: The whole of the table's time.
+START, END, STEP = timestamp("2024-01-01T00:00:00Z"), timestamp("2024-01-31T00:00:00Z"), 6 * HOUR
 NOW = timestamp("2024-01-31T00:00:00Z")
 LAST = (END - START) // STEP
 
@@ -200,15 +202,16 @@ _metric(
 )
 
 
+_EVERY = 600 * 10**9
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events by type in half-hour windows every ten minutes of six hours, through all of the engine."""
-    start = timestamp("2024-01-10T00:00:00Z")
-    vector, grid = _engine(spark, sf_dir).metric_query(TENANT, 'sum by (event_type) (count_over_time({app="events"} |= "k" [30m]))', start, start + 6 * HOUR, 600 * 10**9)
+    """Events by type in half-hour windows every ten minutes of the whole time, through all of the engine."""
+    vector, grid = _engine(spark, sf_dir).metric_query(TENANT, 'sum by (event_type) (count_over_time({app="events"} |= "k" [30m]))', START, END, _EVERY)
     return _flat(vector, ("event_type",), grid.start, grid.step)
 
 
-_T0 = timestamp("2024-01-10T00:00:00Z")
-REGISTRY["flagship"] = Registered(flagship, f"WITH {_LOGS}, {_grid(_T0, 600 * 10**9, 36)}, q AS ({_over('count(*)', 0.5)}) SELECT event_type, t AS eval_ts, CAST(v AS DOUBLE) AS value FROM q")
+REGISTRY["flagship"] = Registered(flagship, f"WITH {_LOGS}, {_grid(START, _EVERY, (END - START) // _EVERY)}, q AS ({_over('count(*)', 0.5)}) SELECT event_type, t AS eval_ts, CAST(v AS DOUBLE) AS value FROM q")
 
 
 def instant(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -343,12 +346,14 @@ def trace_batches(spark, sf_dir):
 
 # ------------------------------------------------- masks, policies, maintenance
 
+#: The time that the deletes are of, within the table's.
+FROM, TO = timestamp("2024-01-05T00:00:00Z"), timestamp("2024-01-15T00:00:00Z")
 _DELETES = [
-    masks.Delete("a", TENANT, '{event_type="click"}', START, START + 100 * HOUR),
-    masks.Delete("b", TENANT, '{app="events"} |= "7"', START + 50 * HOUR, END),
-    masks.Delete("c", "t0", '{app="events"}', START, END),
+    masks.Delete("a", TENANT, '{event_type="click"}', FROM, FROM + 100 * HOUR),
+    masks.Delete("b", TENANT, '{app="events"} |= "7"', FROM + 50 * HOUR, TO),
+    masks.Delete("c", "t0", '{app="events"}', FROM, TO),
 ]
-_VISIBLE = f"NOT (event_type = 'click' AND ts_ns >= {START} AND ts_ns < {START + 100 * HOUR}) AND NOT (contains(line, '7') AND ts_ns >= {START + 50 * HOUR} AND ts_ns < {END})"
+_VISIBLE = f"NOT (event_type = 'click' AND ts_ns >= {FROM} AND ts_ns < {FROM + 100 * HOUR}) AND NOT (contains(line, '7') AND ts_ns >= {FROM + 50 * HOUR} AND ts_ns < {TO})"
 
 
 @_add("delete_mask", f"WITH {_LOGS} SELECT ts_ns, line FROM s WHERE {_W} AND {_VISIBLE}")
@@ -367,7 +372,7 @@ def retention_clamp(spark, sf_dir):
     return e.scan(TENANT, START, NOW).groupBy(L.get(F.col("labels"), "event_type").alias("event_type")).agg(F.count("*").alias("n"))
 
 
-@_add("retention_rewrite", f"WITH {_LOGS} SELECT tenant, count(*) AS n FROM logs WHERE (tenant <> 't1' OR (ts_ns >= {NOW - 168 * HOUR} AND {_VISIBLE})) AND (tenant <> 't0' OR ts_ns < {START} OR ts_ns >= {END}) GROUP BY tenant")
+@_add("retention_rewrite", f"WITH {_LOGS} SELECT tenant, count(*) AS n FROM logs WHERE (tenant <> 't1' OR (ts_ns >= {NOW - 168 * HOUR} AND {_VISIBLE})) AND (tenant <> 't0' OR ts_ns < {FROM} OR ts_ns >= {TO}) GROUP BY tenant")
 def retention_rewrite(spark, sf_dir):
     kept = maintenance.kept(tables.event_logs(spark, sf_dir), _policies(), NOW, _DELETES)
     return kept.groupBy("tenant").agg(F.count("*").alias("n"))
@@ -432,7 +437,7 @@ def logs_from_parts(spark, sf_dir):
     return logs.select(L.get(F.col("labels"), "event_type").alias("event_type"), "ts_ns", "line")
 
 
-@_add("parts_after_retention", f"WITH {_LOGS} SELECT tenant, count(*) AS n, CAST(sum(strlen(line)) AS BIGINT) AS bytes FROM logs WHERE (tenant <> 't1' OR (ts_ns >= {NOW - 168 * HOUR} AND {_VISIBLE})) AND (tenant <> 't0' OR ts_ns < {START} OR ts_ns >= {END}) GROUP BY tenant")
+@_add("parts_after_retention", f"WITH {_LOGS} SELECT tenant, count(*) AS n, CAST(sum(strlen(line)) AS BIGINT) AS bytes FROM logs WHERE (tenant <> 't1' OR (ts_ns >= {NOW - 168 * HOUR} AND {_VISIBLE})) AND (tenant <> 't0' OR ts_ns < {FROM} OR ts_ns >= {TO}) GROUP BY tenant")
 def parts_after_retention(spark, sf_dir):
     old, new = _folder(spark, "logs"), _folder(spark, "logs")
     tables.write_logs(tables.event_logs(spark, sf_dir), old)
@@ -440,6 +445,16 @@ def parts_after_retention(spark, sf_dir):
     return tables.read(spark, new, tables.LOGS).groupBy("tenant").agg(F.count("*").alias("n"), F.sum(F.octet_length("line")).alias("bytes"))
 
 
+@_add("parts_after_deletes", f"WITH {_LOGS} SELECT tenant, event_type, count(*) AS n FROM logs WHERE (tenant <> 't1' OR {_VISIBLE}) AND (tenant <> 't0' OR ts_ns < {FROM} OR ts_ns >= {TO}) GROUP BY ALL")
+def parts_after_deletes(spark, sf_dir):
+    """Two appends to a table with versions, whose days are then maintained one by one."""
+    table, logs = VersionedLogs(spark, _folder(spark, "table")), tables.event_logs(spark, sf_dir)
+    for odd in (0, 1):
+        table.append(logs.where(F.pmod(F.col("ts_ns"), F.lit(2000)) == odd * 1000))
+    maintenance.maintain(table, deletes=_DELETES)
+    return table.read().groupBy("tenant", L.get(F.col("labels"), "event_type").alias("event_type")).agg(F.count("*").alias("n"))
+
+
 @_add("spans_from_parts", f"WITH {_SPANS} SELECT {_SUMMARY} FROM sp WHERE end_ns >= {START} AND start_ns <= {END} GROUP BY trace_id HAVING bool_or(status_code = 2) ORDER BY trace_id LIMIT 100")
 def spans_from_parts(spark, sf_dir):
     path = _folder(spark, "spans")
