@@ -28,6 +28,8 @@ def scan(spans: DataFrame, tenant: str, start_ns: int | None = None, end_ns: int
     df = spans.where(F.col("tenant") == tenant)
     if start_ns is not None:
         df = df.where(F.col("end_ns") >= start_ns)
+        if "reach" in spans.columns:  # partition columns both: days before whose spans all ended are not listed
+            df = df.where(F.col("reach").isNull() | (F.date_add("day", F.col("reach")) >= day_of(F.lit(start_ns).cast("long"))))
     if end_ns is not None:
         df = df.where(F.col("start_ns") <= end_ns)
         if "day" in spans.columns:

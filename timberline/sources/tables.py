@@ -40,16 +40,23 @@ def write_logs(logs: DataFrame, path: str, mode: str = "append", tasks: int | No
     df.drop("labels_key", "metadata_key").write.mode(mode).partitionBy("day").option("compression", "zstd").parquet(path)
 
 
+def reach_of(start_ns: Column, end_ns: Column) -> Column:
+    """Days by which a span outlasts the day of its start: 0, or rounded up to a power of two, so that there are few values."""
+    days = F.greatest(F.lit(0), F.datediff(day_of(end_ns), day_of(start_ns)))
+    return F.when(days <= 1, days).otherwise(F.pow(F.lit(2), F.length(F.bin(days - 1))).cast("int"))
+
+
 def write_spans(spans: DataFrame, path: str, mode: str = "append") -> None:
-    """Parquet by UTC day of the start, with a Bloom filter on trace ids."""
-    df = spans.dropDuplicates(["tenant", "trace_id", "span_id"]).withColumn("day", day_of(F.col("start_ns")))
-    ranges = ("day", "tenant", "trace_id", "start_ns", "span_id")
+    """Parquet by UTC day of the start and by reach, with a Bloom filter on trace ids."""
+    df = spans.dropDuplicates(["tenant", "trace_id", "span_id"]).withColumn("day", day_of(F.col("start_ns"))).withColumn("reach", reach_of(F.col("start_ns"), F.col("end_ns")))
+    ranges = ("day", "reach", "tenant", "trace_id", "start_ns", "span_id")
     df = df.repartitionByRange(*ranges).sortWithinPartitions(*ranges)
-    df.write.mode(mode).partitionBy("day").option("compression", "zstd").option("parquet.bloom.filter.enabled#trace_id", "true").parquet(path)
+    df.write.mode(mode).partitionBy("day", "reach").option("compression", "zstd").option("parquet.bloom.filter.enabled#trace_id", "true").parquet(path)
 
 
 def read(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(f"{schema}, day date").parquet(path)
+    """A table with the columns that its folders are named by; spans written without reach have none."""
+    return spark.read.schema(f"{schema}, day date{', reach int' if schema == SPANS else ''}").parquet(path)
 
 
 # ------------------------------------------------------------- fixture views
