@@ -42,3 +42,26 @@ def test_continuous_counts(spark, tmp_path):
     q = live.continuous_counts(spark.readStream.schema(tables.LOGS).parquet(src), "1 minute")
     q.writeStream.outputMode("complete").format("memory").queryName("counted").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination()
     assert sorted((r.entries, r.bytes) for r in spark.table("counted").collect()) == [(1, 1), (2, 3)]
+
+
+def test_a_repeated_batch_has_the_same_rows(spark, tmp_path):
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    clock = iter([NOW, NOW + 2 * live.MAX_AGE_NS, NOW])
+
+    def run(checkpoint):
+        live.ingest(spark.readStream.schema(tables.LOGS).parquet(src), out, str(tmp_path / checkpoint), clock=lambda: next(clock), max_streams=1).awaitTermination()
+        return sorted(r.line for r in live.landed(spark, out).collect())
+
+    rows(spark, (0, "b", "second"), (0, "a", "first")).write.parquet(src)
+    assert run("one") == ["first"]
+    assert run("two") == ["first"]  # batch 0 again, much later by the clock
+    assert [r.labels_key[0].value for r in spark.read.parquet(out + ".streams").collect()] == ["a"]
+
+
+def test_a_table_without_the_list_of_streams_gets_it_from_its_rows(spark, tmp_path):
+    out = str(tmp_path / "out")
+    tables.write_logs(rows(spark, (0, "z", "old")), f"{out}/batch=0")
+    known = live._known(spark, out, 1)
+    assert [r.labels_key[0].value for r in known.collect()] == ["z"]
+    assert live.new_streams(rows(spark, (0, "a", "new")), known, 1).count() == 0
+    assert live.new_streams(rows(spark, (0, "a", "new"), (0, "b", "new")), known, 2).count() == 1

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import time
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import labels as L
 from ..operators import masks, selection
 from ..plans import ast
-from ..sources.tables import DAY_NS, LOGS, day_of, read, write_logs
+from ..sources import files
+from ..sources.tables import DAY_NS, LOGS, day_of, write_logs
 
 #: How old and how far ahead an entry may be.
 MAX_AGE_NS, MAX_AHEAD_NS = 7 * DAY_NS, 3600 * 10**9
@@ -23,39 +24,68 @@ def accepted(now_ns: int, max_age_ns: int = MAX_AGE_NS, max_ahead_ns: int = MAX_
     return F.col("ts_ns").between(now_ns - max_age_ns, now_ns + max_ahead_ns)
 
 
+def _streams(logs: DataFrame) -> DataFrame:
+    return logs.select("tenant", L.labels_key(F.col("labels")).alias("labels_key")).distinct()
+
+
+def new_streams(batch: DataFrame, old: DataFrame, max_streams: int) -> DataFrame:
+    """tenant and labels_key of the first streams of a batch that are not among the old ones and that a tenant still has room for."""
+    count = old.groupBy("tenant").agg(F.count("*").alias("used"))
+    rank = F.row_number().over(Window.partitionBy("tenant").orderBy("labels_key"))
+    new = _streams(batch).join(old, ["tenant", "labels_key"], "left_anti")
+    first = new.withColumn("rank", rank).where(F.col("rank") <= max_streams)  # by task already, before a tenant's streams meet
+    return first.join(count, "tenant", "left").where(F.col("rank") + F.coalesce("used", F.lit(0)) <= max_streams).select("tenant", "labels_key")
+
+
+def _of(batch: DataFrame, streams: DataFrame) -> DataFrame:
+    keyed = batch.withColumn("labels_key", L.labels_key(F.col("labels")))
+    return keyed.join(streams, ["tenant", "labels_key"], "left_semi").select(*batch.columns)
+
+
 def within_stream_limit(batch: DataFrame, known: DataFrame, max_streams: int) -> DataFrame:
     """Entries of streams that are known, or are among the first new ones that a tenant still has room for."""
-    keyed = batch.withColumn("labels_key", L.labels_key(F.col("labels")))
-    old = known.select("tenant", L.labels_key(F.col("labels")).alias("labels_key")).distinct()
-    count = old.groupBy("tenant").agg(F.count("*").alias("used"))
-    from pyspark.sql import Window
+    old = _streams(known)
+    return _of(batch, old.unionByName(new_streams(batch, old, max_streams)))
+
+
+def _known(spark: SparkSession, path: str, number: int) -> DataFrame:
+    """tenant and labels_key of the streams that batches before this one brought; a table without the list gets it from its rows."""
+    at = f"{path}.streams"
+    if not files.exists(spark, at):
+        if not any(n.startswith("batch=") for n in files.names(spark, path)):
+            return spark.createDataFrame([], f"tenant string, labels_key {L.KEY_TYPE}")
+        _streams(spark.read.schema(LOGS).parquet(f"{path}/batch=*")).write.mode("overwrite").parquet(f"{at}/batch=-1")
+    return spark.read.schema(f"tenant string, labels_key {L.KEY_TYPE}, batch long").parquet(at).where(F.col("batch") < number).drop("batch")
+
 
-    new = keyed.select("tenant", "labels_key").distinct().join(old, ["tenant", "labels_key"], "left_anti").join(count, "tenant", "left")
-    room = new.withColumn("rank", F.row_number().over(Window.partitionBy("tenant").orderBy("labels_key"))).where(F.col("rank") + F.coalesce("used", F.lit(0)) <= max_streams)
-    allowed = old.unionByName(room.select("tenant", "labels_key"))
-    return keyed.join(allowed, ["tenant", "labels_key"], "left_semi").select(*batch.columns)
+def _time_of(spark: SparkSession, path: str, number: int, clock) -> int:
+    """The time at which a batch was first taken."""
+    at = f"{path}.times/{number}"
+    if files.text(spark, at) is None:
+        files.create(spark, at, str(clock()))
+    return int(files.text(spark, at))
 
 
 def ingest(stream: DataFrame, path: str, checkpoint: str, rejected: str | None = None, clock=lambda: time.time_ns(), max_streams: int | None = None, **trigger) -> StreamingQuery:
     """Write accepted entries to the day-partitioned table; others go to `rejected`.
 
-    Spark's checkpoint holds what has been read, so a batch that is run again after
-    a failure has the same rows; each is written to a folder of its own number, and
-    a repeated one overwrites it.
+    Spark's checkpoint holds what has been read, the time of each batch is kept in
+    `<path>.times` and the streams that each brought in `<path>.streams`, so a batch
+    that is run again after a failure has the same rows; each is written to a folder of
+    its own number, and a repeated one overwrites it.
     """
+    path = path.rstrip("/")
 
     def land(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
         batch = batch.persist()
-        ok = accepted(clock())
+        ok = accepted(_time_of(spark, path, number, clock))
         good = batch.where(ok)
         if max_streams is not None:
-            try:
-                known = read(batch.sparkSession, f"{path}/*", LOGS)
-                good = within_stream_limit(good, known.select("tenant", "labels"), max_streams)
-            except Exception as e:  # no batch has been written yet
-                if "PATH_NOT_FOUND" not in str(e):
-                    raise
-                good = within_stream_limit(good, batch.limit(0), max_streams)
+            old, at = _known(spark, path, number), f"{path}.streams/batch={number}"
+            new_streams(good, old, max_streams).write.mode("overwrite").parquet(at)
+            new = spark.read.schema(f"tenant string, labels_key {L.KEY_TYPE}").parquet(at)
+            good = _of(good, old.unionByName(new))
         write_logs(good, f"{path}/batch={number}", mode="overwrite")
         if rejected:
             batch.where(~ok).withColumn("day", day_of(F.col("ts_ns"))).write.mode("overwrite").parquet(f"{rejected}/batch={number}")
