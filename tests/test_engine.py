@@ -1,6 +1,7 @@
 import json
 import os
 import re
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -11,9 +12,10 @@ from timberline import queries
 from timberline.engine import Engine
 from timberline.functions import labels as L
 from timberline.operators import discovery, maintenance, masks, ranges, traces
-from timberline.operators.policies import Deletes, Policies
+from timberline.operators.policies import Deletes, Policies, authorized
 from timberline.plans.parser import QueryProblem, parse
-from timberline.sources import push, tables
+from timberline.sources import otlp_proto, push, tables
+from timberline.sources.versions import Conflict, Document
 
 S = 10**9
 SF = "/root/testdata/sf0.01"
@@ -225,6 +227,63 @@ def test_otlp(spark):
             push.otlp_spans(raw(body)).collect()
 
 
+def _any(**v):
+    (kind, x), = v.items()
+    return {"s": lambda: _field(1, x.encode()), "b": lambda: _field(2, int(x)), "i": lambda: _field(3, x % 2**64), "d": lambda: _varint(4 << 3 | 1) + struct.pack("<d", x), "l": lambda: _field(5, b"".join(_field(1, y) for y in x)), "raw": lambda: _field(7, x)}[kind]()
+
+
+def _pair(key, **v):
+    return _field(1, key.encode()) + _field(2, _any(**v))
+
+
+def _fixed(number, value):
+    return _varint(number << 3 | 1) + struct.pack("<Q", value)
+
+
+def test_otlp_protobuf(spark):
+    attrs = [_pair("service.name", s="s"), _pair("host.name", s="h"), _pair("n", i=-5), _pair("d", d=1.5), _pair("one", d=1.0), _pair("yes", b=True), _pair("list", l=[_any(s="x")])]
+    resource = _field(1, b"".join(_field(1, a) for a in attrs))
+    record = _fixed(11, 42) + _field(2, 9) + _field(3, b"INFO") + _field(5, _any(s="old") + _any(s="body é")) + _field(9, b"\xab" * 16) + _field(6, _pair("k", s="v")) + _field(99, b"unknown")
+    logs_body = _field(1, resource + _field(2, _field(1, _field(1, b"sc")) + _field(2, record)))
+    binary = lambda b: spark.createDataFrame([("t", b)], "tenant string, body binary")
+    r = push.otlp_logs(binary(logs_body)).first()
+    assert (r.tenant, r.ts_ns, r.labels, r.line) == ("t", 42, {"service_name": "s"}, "body é")
+    want = {"host.name": "h", "n": "-5", "d": "1.5", "one": "1", "yes": "true", "scope_name": "sc", "severity_text": "INFO", "severity_number": "9", "trace_id": "ab" * 16, "k": "v"}
+    assert {k: r.metadata[k] for k in want} == want and "stringValue" in r.metadata["list"] and "span_id" not in r.metadata
+    span = _field(1, b"\x0a" * 16) + _field(2, b"\x0b" * 8) + _field(5, b"op") + _fixed(7, 100) + _fixed(8, 650) + _field(15, _field(3, 2)) + _field(9, _pair("x", s="1"))
+    spans_body = lambda x: _field(1, resource + _field(2, _field(2, x)))
+    s = push.otlp_spans(binary(spans_body(span))).first()
+    assert (s.trace_id, s.span_id, s.parent_span_id, s.name, s.start_ns, s.end_ns, s.status_code, s.attributes, s.resource.attributes["n"]) == ("0a" * 16, "0b" * 8, "", "op", 100, 650, 2, {"x": "1"}, "-5")
+    assert push.otlp_spans(binary(b"")).count() == 0 and push.otlp_logs(binary(None)).count() == 0
+    with pytest.raises(Exception, match="invalid span"):
+        push.otlp_spans(binary(spans_body(_field(5, b"no ids")))).collect()
+    deep = _any(s="x")
+    for _ in range(200):
+        deep = _any(l=[deep])
+    for bad in (b"\x0a\x50", _field(1, 5), _field(1, _field(1, _field(1, _field(1, b"\xff")))), _field(1, _field(2, _field(2, _field(5, deep))))):
+        with pytest.raises(push.PushProblem):
+            otlp_proto.as_json(bad, "logs")
+
+
+def test_policies_and_deletes_are_kept(spark, tmp_path):
+    at, requests = Document(spark, str(tmp_path / "p")), Document(spark, str(tmp_path / "d"))
+    a, b = Policies.load(at), Policies.load(at)
+    a.put("t", "7d", 1, 2, 3, 4)
+    a.save(at)
+    b.put("u", "1d")
+    with pytest.raises(Conflict):
+        b.save(at)
+    assert Policies.load(at).rows == {"t": ("t", "7d", 1, 2, 3, 4)} and Policies.load(at).floor("t", 8 * 86_400 * S) == 86_400 * S
+    d = Deletes.load(requests)
+    one = d.submit("t", '{a="b"}', 0, 5, 9)
+    d.save(requests)
+    d.processed({one.request_id})
+    d.save(requests)
+    again = Deletes.load(requests)
+    assert again.rows == d.rows and again.list("t")[0].status == masks.PROCESSED
+    assert authorized("Bearer x", "x") and not authorized("Bearer y", "x") and not authorized(None, "x") and not authorized("Bearer ", "") and not authorized("Bearer None", None)
+
+
 def test_trace_search(spark):
     base = dict(tenant="t", kind=1, status_code=0, opaque=[], scope=("", "", ""))
     make = lambda t, s, p, a, b, n, at: (base["tenant"], t, s, p, n, a, b, 1, 0, at, [], ({"service.name": "svc"}, ""), base["scope"])

@@ -166,8 +166,10 @@ def _pairs(attributes: Column, keep=lambda a: F.lit(True)) -> Column:
 
 
 def otlp_logs(raw: DataFrame, body: str = "body") -> DataFrame:
-    """Rows of the logs schema of OTLP log exports beside a tenant column."""
-    r = raw.select("tenant", F.explode(F.from_json(body, _LOGS)["resourceLogs"]).alias("r"))
+    """Rows of the logs schema of OTLP log exports, JSON text or protobuf bytes, beside a tenant column."""
+    from .otlp_proto import bodies
+
+    r = bodies(raw, body, "logs").select("tenant", F.explode(F.from_json(body, _LOGS)["resourceLogs"]).alias("r"))
     s = r.select("tenant", F.col("r.resource.attributes").alias("resource"), F.explode("r.scopeLogs").alias("s"))
     x = s.select("tenant", "resource", F.coalesce("s.scope.name", F.lit("")).alias("scope"), F.explode("s.logRecords").alias("x"))
     label = lambda a: a["key"].isin(list(PROMOTED)) & scalar(a["value"]).isNotNull()
@@ -184,8 +186,10 @@ def otlp_logs(raw: DataFrame, body: str = "body") -> DataFrame:
 
 
 def otlp_spans(raw: DataFrame, body: str = "body") -> DataFrame:
-    """Rows of the spans schema of OTLP trace exports beside a tenant column; an invalid span is an error."""
-    r = raw.select("tenant", F.explode(F.from_json(body, _SPANS)["resourceSpans"]).alias("r"))
+    """Rows of the spans schema of OTLP trace exports, JSON text or protobuf bytes, beside a tenant column; an invalid span is an error."""
+    from .otlp_proto import bodies
+
+    r = bodies(raw, body, "spans").select("tenant", F.explode(F.from_json(body, _SPANS)["resourceSpans"]).alias("r"))
     s = r.select("tenant", F.col("r.resource.attributes").alias("resource"), F.coalesce("r.schemaUrl", F.lit("")).alias("url"), F.explode("r.scopeSpans").alias("s"))
     x = s.select("tenant", "resource", "url", "s.scope", F.coalesce("s.schemaUrl", F.lit("")).alias("scope_url"), F.explode("s.spans").alias("x"))
     none = F.lit("")
