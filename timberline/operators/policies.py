@@ -1,15 +1,17 @@
-"""Tenant policies and delete requests as small tables; usage of a tenant."""
+"""Tenant policies and delete requests as small documents with versions; usage of a tenant."""
 
 from __future__ import annotations
 
+import hmac
 import re
 import uuid
-from dataclasses import replace
+from dataclasses import asdict, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
+from ..sources.versions import Document
 from .masks import MAX_DELETES, PROCESSED, RECEIVED, Delete, delete_query, floor, retention_ns
 
 POLICY = "tenant string, retention string, ingest_rate long, query_rate long, max_streams long, updated_at long"
@@ -25,11 +27,25 @@ def tenant_name(text: str | None, default: str | None = None, allowed: frozenset
     return text
 
 
+def authorized(header: str | None, token: str | None) -> bool:
+    """Whether a header bears the administrator's token, compared in constant time; without a token nobody is."""
+    return bool(token) and hmac.compare_digest((header or "").encode(), f"Bearer {token}".encode())
+
+
 class Policies:
     """Whole-document policies by tenant; a tenant without one keeps everything."""
 
-    def __init__(self, rows: list[tuple] = ()):
-        self.rows = {r[0]: tuple(r) for r in rows}
+    def __init__(self, rows: list[tuple] = (), version: int = 0):
+        self.rows, self.version = {r[0]: tuple(r) for r in rows}, version
+
+    @classmethod
+    def load(cls, document: Document) -> Policies:
+        version, rows = document.read()
+        return cls(rows or (), version)
+
+    def save(self, document: Document) -> None:
+        """Conflict where another writer has saved since this was loaded."""
+        self.version = document.write([self.rows[t] for t in sorted(self.rows)], self.version)
 
     def put(self, tenant: str, retention: str, ingest_rate: int | None = None, query_rate: int | None = None, max_streams: int | None = None, updated_at: int = 0) -> None:
         retention_ns(retention)
@@ -49,8 +65,17 @@ class Policies:
 class Deletes:
     """Delete requests of all tenants: submitted, listed, cancelled, and processed once the rows are gone."""
 
-    def __init__(self, rows: list[Delete] = ()):
-        self.rows = list(rows)
+    def __init__(self, rows: list[Delete] = (), version: int = 0):
+        self.rows, self.version = list(rows), version
+
+    @classmethod
+    def load(cls, document: Document) -> Deletes:
+        version, rows = document.read()
+        return cls([Delete(**r) for r in rows or ()], version)
+
+    def save(self, document: Document) -> None:
+        """Conflict where another writer has saved since this was loaded."""
+        self.version = document.write([asdict(d) for d in self.rows], self.version)
 
     def submit(self, tenant: str, query: str, start_ns: int, end_ns: int | None, now_ns: int) -> Delete:
         end_ns = now_ns if end_ns is None else end_ns

@@ -23,6 +23,23 @@ class Conflict(RuntimeError):
     """Another writer has taken what this one was to replace."""
 
 
+class Document:
+    """A small JSON document in numbered versions; who writes names the version that it read."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def read(self) -> tuple[int, object]:
+        """The last version and its content; 0 and none before the first."""
+        last = max((int(n.removesuffix(".json")) for n in files.names(self.spark, self.path) if n.endswith(".json")), default=0)
+        return last, json.loads(files.text(self.spark, f"{self.path}/{last:012d}.json")) if last else None
+
+    def write(self, content, after: int) -> int:
+        if not files.create(self.spark, f"{self.path}/{after + 1:012d}.json", json.dumps(content)):
+            raise Conflict(f"{self.path} has a version after {after}")
+        return after + 1
+
+
 class VersionedLogs:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
