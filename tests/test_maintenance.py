@@ -2,8 +2,9 @@ import random
 
 import pytest
 
-from timberline.operators import maintenance, masks, traces
+from timberline.operators import maintenance, masks, selection, traces
 from timberline.operators.policies import Policies
+from timberline.plans.parser import parse_selector
 from timberline.sources import tables
 from timberline.sources.versions import Conflict, VersionedLogs
 
@@ -124,3 +125,30 @@ def test_spans_written_without_reach_are_all_found(spark, tmp_path):
     df = spans(spark, (0, 9 * DAY), (5 * DAY, 5 * DAY)).withColumn("day", tables.day_of(tables.F.col("start_ns")))
     df.write.partitionBy("day").parquet(path)
     assert traces.scan(tables.read(spark, path, tables.SPANS), "t", 8 * DAY, 9 * DAY).count() == 1
+
+
+def test_line_filters_skip_files(spark, tmp_path):
+    rng, t = random.Random(3), VersionedLogs(spark, str(tmp_path / "t"))
+    words = ["error", "näïve", "日本語のログ", "a.b*c", "😀😀x", "ok", ""]
+    every = []
+    for i in range(4):
+        rows = [(d * DAY + j, "a", f"{rng.choice(words)} {rng.randrange(100)} {rng.choice(words)}" if i or d else f"plain {j}") for d in range(3) for j in range(4)]
+        t.commit(t.write(logs(spark, *rows), index=i != 3))
+        every += [r[2] for r in rows]
+    every += ["needle in it", "nothing"]
+    t.append(logs(spark, (DAY, "a", "needle in it"), (2 * DAY, "a", "nothing")))
+    unindexed = 3
+    for texts in (["needle"], ["error"], ["日本語"], ["näï", "ok"], ["😀x"], ["a.b*c"], ["no"], ["ab", ""], ["absent text"], ["needle", "in it"]):
+        got = t.read(containing=texts)
+        assert sorted(r.line for r in got.collect() if all(x in r.line for x in texts)) == sorted(x for x in every if all(y in x for y in texts)), texts
+    assert len(t.read(containing=["needle"]).selectExpr("_metadata.file_path").distinct().collect()) == 1 + unindexed
+    assert t.read(containing=["no"]).count() == t.read().count()  # too short to tell
+    took = maintenance.maintain(t, deletes=[masks.Delete("x", "t", '{app="a"} |= "needle"', 0, 9 * DAY)])
+    assert took and not any("needle" in r.line for r in t.read(containing=["needle"]).collect())
+    t.sweep(keep=1, orphan_s=0)
+    assert lines(t.read()) == sorted(x for x in every if "needle" not in x)
+
+
+def test_literals_of_a_query():
+    of = lambda q: selection.literals(parse_selector(q))
+    assert of('{a="b"} |= "x" != "y" |~ "z" | json | k = "1" |= "w" | line_format "{{.k}}" |= "v"') == ["x", "w"] and of("{}") == []

@@ -32,6 +32,17 @@ def passes(f: ast.LineFilter) -> Column:
     return test if f.op in ("|=", "|~") else ~test
 
 
+def literals(query: ast.LogQuery) -> list[str]:
+    """Texts that a stored line must contain to pass a query: its |= filters before the line is formatted anew."""
+    out = []
+    for stage in query.stages:
+        if isinstance(stage, ast.LineFormat):
+            break
+        if isinstance(stage, ast.LineFilter) and stage.op == "|=":
+            out.append(stage.value)
+    return out
+
+
 def field_test(f: ast.FieldFilter) -> Column:
     """A field filter; an absent field is an empty string, and no number or duration, so those tests fail."""
     value = L.get(F.col("fields"), f.name)
